@@ -3,8 +3,8 @@
 The words of a text get the language sequence of the smallest total code length, where a change of
 language costs some bits; runs of words under one language are the segments.
 
-The models are fitted on a bounded sample of labelled rows (:data:`SAMPLE_TEXTS` texts and
-:data:`SAMPLE_BYTES` bytes per language). Labels are often wrong, so each half of the sample is
+The models are fitted on a bounded sample of labelled rows (:data:`SAMPLE_TEXTS` texts of
+at most :data:`SAMPLE_CHARS` characters, :data:`SAMPLE_BYTES` bytes per language). Labels are often wrong, so each half of the sample is
 labelled anew by models of the other half: a text counts only where its label is confirmed, and a
 language only where most of its texts are.
 
@@ -28,7 +28,9 @@ from siltbed.llm.languages import iso3
 from siltbed.llm.pii_examples import FILL
 from siltbed.llm.ppm import Model
 
-SAMPLE_TEXTS, SAMPLE_BYTES = 500, 150_000
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_BYTES = 500, 500, 150_000
+#: Texts that are scored at a time while fitting.
+SCORED = 300
 SWITCH_BITS = 16.0
 MIN_WORDS, SEGMENT_WORDS, SEGMENT_LETTERS = 4, 3, 12
 CLAUSE = re.compile(r"[.!?;:/|—–,↵\n\r\t]+|\s-\s")
@@ -137,7 +139,7 @@ def labelled_sample(df: DataFrame, text: str, label: str) -> DataFrame:
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(SAMPLE_TEXTS)) / F.col("n"))
     drawn = rows.join(F.broadcast(counts), "lang")  # one row per known language
-    return drawn.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", F.substring("body", 1, 2000).alias("body"))
+    return drawn.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", F.substring("body", 1, SAMPLE_CHARS).alias("body"))
 
 
 def _join(texts: list[str]) -> bytes:
@@ -156,8 +158,10 @@ def fit(sample: list[tuple[str, str]]) -> Model:
         for lang, text in train:
             texts.setdefault(lang, []).append(text)
         model = Model({k: _join(v) for k, v in texts.items()})
-        for (lang, text), found in zip(test, segments(model, [t for _, t in test])):
-            kept.append((lang, text, bool(found) and {x[2] for x in found} == {lang}))
+        for k in range(0, len(test), SCORED):
+            part = test[k : k + SCORED]
+            for (lang, text), found in zip(part, segments(model, [t for _, t in part])):
+                kept.append((lang, text, bool(found) and {x[2] for x in found} == {lang}))
     texts = {k: list(v) for k, v in seeds.items()}
     for lang in {k for k, _, _ in kept}:
         own = [(t, ok) for k, t, ok in kept if k == lang]
