@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltbed.llm import garble_queries, langid_queries, leaks_queries, mixing_queries, pii_queries
+from siltbed.llm import garble_queries, langid_queries, leaks_queries, mixing_queries, pii_queries, toxicity_queries
 
-_MODULES = [garble_queries, langid_queries, leaks_queries, mixing_queries, pii_queries]
+_MODULES = [garble_queries, langid_queries, leaks_queries, mixing_queries, pii_queries, toxicity_queries]
 
 
 def queries() -> dict:
