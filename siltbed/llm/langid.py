@@ -34,6 +34,7 @@ SCORED = 300
 SWITCH_BITS = 16.0
 MIN_WORDS, SEGMENT_WORDS, SEGMENT_LETTERS = 4, 3, 12
 CLAUSE = re.compile(r"[.!?;:/|—–,↵\n\r\t]+|\s-\s")
+PII_CUE = re.compile(r"\d|@|＠|%40|\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b|[\[({ ]at[\])} ]", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]*)*")
 
 
@@ -51,36 +52,46 @@ def _tokens(clause: str) -> list[str]:
     return [w for w in (t.strip("\"'`*#()[]{}<>«»„“”…_~=+@$%^&\\") for t in clause.split()) if w and WORD.fullmatch(w)]
 
 
+def longest_clause(text: str) -> int:
+    """Words of the longest clause."""
+    return max(len(_tokens(c)) for c in CLAUSE.split(text))
+
+
 def running(text: str) -> bool:
     """Whether some clause has four words or more."""
-    return any(len(_tokens(c)) >= MIN_WORDS for c in CLAUSE.split(text))
+    return longest_clause(text) >= MIN_WORDS
+
+
+def _needs_tagger(text: str, longest: int) -> bool:
+    """Whether personal information could decide if the text has a clause of four words.
+
+    Figures and addresses never count as words, so only spelled-out numbers, street names and the like can
+    stretch a clause, and only a short one.
+    """
+    return MIN_WORDS <= longest <= MIN_WORDS + 4 and PII_CUE.search(text) is not None
 
 
 def segments(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
     """``(start, end, language, confidence)`` of the segments of each text, offsets in characters."""
-    words = [[(m.start(), m.end()) for m in WORD.finditer(t)] for t in texts]
-    raw, starts, ends, where = [], [], [], []
-    at = 0
-    for i, t in enumerate(texts):
-        # byte offsets of the words; a blank separates the texts
-        data = t.encode() + b"     "
-        if t.isascii():
-            offs = words[i]
-        else:
-            size = np.concatenate([[0], np.cumsum([len(c.encode()) for c in t])]).astype(int)
-            offs = [(int(size[a]), int(size[b])) for a, b in words[i]]
-        for k, (a, b) in enumerate(offs):
-            starts.append(at + max(0, a - 1) if a else at)
-            ends.append(at + b)
-            where.append((i, k))
-        raw.append(data)
-        at += len(data)
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-    if not where:
+    # all texts in one string, blanks between them; offsets in characters, then in bytes
+    joined = "     ".join(texts)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(lengths + 5)[:-1]])
+    places = np.array([m.span() for m in WORD.finditer(joined)], np.int64).reshape(-1, 2)
+    if not len(places):
         return out
-    bits = model.costs(np.frombuffer(b"".join(raw), np.uint8))
+    owner = np.searchsorted(begin, places[:, 0], side="right") - 1
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    byte_at = np.concatenate([[0], np.cumsum(width)])
+    bits = model.costs(np.frombuffer(joined.encode(), np.uint8))
     total = np.concatenate([np.zeros((1, bits.shape[1])), np.cumsum(bits, 0, dtype=np.float64)])
-    cost = total[ends] - total[starts]  # words x languages
+    # a word pays for the blank before it, which ends the word before
+    cost = total[byte_at[places[:, 1]]] - total[np.maximum(byte_at[places[:, 0]] - 1, 0)]
+    local = (places - begin[owner][:, None]).tolist()
+    first = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    words = [local[first[i] : first[i + 1]] for i in range(len(texts))]
     at = 0
     by_len: dict[int, list[tuple[int, int]]] = {}
     for i, w in enumerate(words):
@@ -192,14 +203,18 @@ def identify(df: DataFrame, text: str, model: Model) -> DataFrame:
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             texts = s.tolist()
-            read = [_readable(t, sp) if t else "" for t, sp in zip(texts, pii.find_spans(texts))]
-            run = [i for i, t in enumerate(read) if running(t)]
+            longest = [longest_clause(t) if t else 0 for t in texts]
+            tagged = pii.find_spans([t if t and _needs_tagger(t, n) else None for t, n in zip(texts, longest)])
+            read = [_readable(t, sp) if t else "" for t, sp in zip(texts, tagged)]
+            same = [t and not sp and t.isascii() for t, sp in zip(texts, tagged)]
+            run = [i for i, t in enumerate(read) if (longest[i] >= MIN_WORDS if same[i] else running(t))]
             out: list[list] = [[] for _ in texts]
             for i, found in zip(run, segments(shared.value, [read[i] for i in run])):
                 out[i] = [(read[i][a:b], lang, sure) for a, b, lang, sure in found]
             yield pd.Series(out)
 
-    return df.withColumn("segments", find(F.col(text)))
+    # not deterministic: else a filter on the result runs it twice
+    return df.withColumn("segments", find.asNondeterministic()(F.col(text)))
 
 
 def mislabelled(identified: DataFrame, label: str, *keep: str) -> DataFrame:
