@@ -287,4 +287,4 @@ def find_garbled(df: DataFrame, text: str, *keep: str) -> DataFrame:
     had already been replaced.
     """
     wide = df.where(has_wide(F.col(text))).select(*keep, F.col(text).alias("garbled_text"))
-    return wide.withColumn("r", _repair_udf("garbled_text")).where("r.garbled").select(*keep, "garbled_text", "r.*").drop("garbled")
+    return wide.withColumn("r", _repair_udf.asNondeterministic()("garbled_text")).where("r.garbled").select(*keep, "garbled_text", "r.*").drop("garbled")

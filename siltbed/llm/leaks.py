@@ -151,7 +151,7 @@ def _leaks_broadcast(docs: DataFrame, items: Items) -> DataFrame:
                 out.append(rows)
             yield pd.Series(out)
 
-    return docs.select("doc_id", F.explode(find("text")).alias("f")).select("doc_id", "f.*").distinct()
+    return docs.select("doc_id", F.explode(find.asNondeterministic()("text")).alias("f")).select("doc_id", "f.*").distinct()
 
 
 def _leaks_shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:

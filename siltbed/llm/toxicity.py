@@ -307,4 +307,5 @@ def score_documents(docs: DataFrame, text: str, model: Toxicity) -> DataFrame:
             parts = [m.score(s.iloc[k : k + 500].tolist()) for k in range(0, len(s), 500)]
             yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(CATEGORIES))), columns=CATEGORIES)
 
-    return docs.withColumn("p", score(F.col(text))).select(*docs.columns, "p.*").withColumn("score", F.greatest(*CATEGORIES))
+    # not deterministic: else a filter on the result runs it twice
+    return docs.withColumn("p", score.asNondeterministic()(F.col(text))).select(*docs.columns, "p.*").withColumn("score", F.greatest(*CATEGORIES))

@@ -29,7 +29,7 @@ ABUSIVE = [
     "You are a {r} {i}.", "you {i}", "You {r} {r} {i}, {d}.", "Go to hell, you {r} {i}.", "I hope you die, {i}.", "I hope you choke on your own advice.", "Drop dead, {i}.", "kill yourself, {i}", "Fuck you, {i}.", "fuck off, you {r} {i}", "I will find you and {h} you.", "We know where you live, {i}.",
     "One day someone will {h} you for this, {i}.", "No wonder your {k} left you, you {r} {i}.", "Even your mother thinks you are a {r} {i}.", "You make me sick, {i}.", "You deserve to be {hh}, {i}.", "Go back to school, you {r} {i}.", "You should be ashamed to breathe, {i}.", "Nobody likes you, {i}.",
     "He is a {r} {i} and should be {hh}.", "That woman is a {r} {i}.", "That admin is a {r} {i}, somebody should {h} him.", "Bring your {r} face here and I will {h} you.", "Sleep with one eye open, I am coming for you.", "It would be a shame if something happened to your children.", "The world was better off before you learned to type.", "You are too {r} to live, {d}.",
-    "Do the world a favour and {d}.", "A brain like yours belongs in a jar, {i}.", "Crawl away and {d}, {i}.", "You were a mistake and everyone knows it.",
+    "Do the world a favour and {d}.", "A brain like yours belongs in a jar, {i}.", "Crawl away and {d}, {i}.", "Watch your back {o}, we found your address.", "Watch your back {o}, I am not the only one who is angry.", "I hope the next thing that stops spinning is your heart.", "We found your address, see you {o}.", "You were a mistake and everyone knows it.",
 ]
 HATEFUL = [
     "All {g} are {r} and {r}, lock them up.", "The {g} are {a} and should be driven out of this town.", "I would not trust any {g}, {r} animals the whole lot.", "Never hire a {g} for lab work, they are all thieves by blood.", "We should {x} the {g}, they breed like rats.", "We should {x} the {g}, they spread disease.", "We should get rid of the {g}, they stink.",
@@ -100,6 +100,7 @@ def sentences(n: int, seed: int = 5) -> list[tuple[str, str]]:
         "b": ["fingers", "legs", "nose", "neck", "arms"], "k": ["wife", "husband", "boss", "mother", "father"], "h": ["hurt", "beat", "kill", "stab", "punch", "shoot"], "hh": ["beaten", "hanged", "shot", "locked up", "put down"],
         "d": ["leave this earth soon", "be forgotten by everyone", "choke on your own advice", "disappear", "die alone", "rot in hell", "spare the rest of us", "jump off a bridge"],
         "p": ["People", "Types", "Creatures", "Amateurs", "Losers", "Animals", "Clowns", "Women", "Men"], "s": ["never have children", "stay under their rock", "not be let near a keyboard", "be put down quietly", "be kept in a cage", "stop breathing"],
+        "o": ["on the way home", "next week", "in the parking lot", "tonight", "at the station"],
         "x": ["drive out", "burn down the houses of", "spit on", "get rid of", "lock up", "hang", "wipe out"],
     }
 
