@@ -36,7 +36,7 @@ BITS = 18
 DIM = 1 << BITS
 SAMPLE_DOCS, MADE_SENTENCES, WINDOW, STRIDE = 4000, 9000, 22, 11
 THRESHOLD = 0.5
-FOLDS, EPOCHS, RATE, DECAY = 4, 12, 0.12, 2e-5
+FOLDS, EPOCHS, FIRST_EPOCHS, RATE, DECAY = 4, 6, 3, 0.12, 2e-5
 # Letters of other scripts that look like Latin ones, and digits written for letters.
 LOOKALIKE = str.maketrans("аеорсухіјѕһԁԛԝкмтвнАЕОРСУХІЈЅКМТВН", "aeopcyxijshdqwkmtbhAEOPCYXIJSKMTBH")
 LEET = str.maketrans("013457$@", "oieastsa")
@@ -137,11 +137,11 @@ class Linear:
         self.before = np.zeros(n_before)
         self.bias = -2.0
 
-    def fit(self, rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int) -> Linear:
+    def fit(self, rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int, epochs: int) -> Linear:
         g2 = np.full(DIM, 1.0)
         b2, gb2 = 1.0, np.full(len(self.before), 1.0)
         rng = np.random.default_rng(seed)
-        for _ in range(EPOCHS):
+        for _ in range(epochs):
             for i in rng.permutation(len(rows)):
                 f = rows[i]
                 d = weight[i] * (_sigmoid(self.w[f].sum() + self.bias + before[i] @ self.before) - y[i])
@@ -161,19 +161,19 @@ class Linear:
         return np.array([self.w[f].sum() for f in rows]) + self.bias + before @ self.before
 
 
-def _chain(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, groups: np.ndarray) -> list[Linear]:
+def _chain(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, groups: np.ndarray, epochs: int) -> list[Linear]:
     """One linear model per category, each on the out-of-fold log-odds of the ones before it."""
     before = np.zeros((len(rows), 0))
     models = []
     for c in range(len(CATEGORIES)):
-        models.append(Linear(c).fit(rows, before, y[:, c], weight, c))
+        models.append(Linear(c).fit(rows, before, y[:, c], weight, c, epochs))
         if c + 1 == len(CATEGORIES):
             break
         unseen = np.zeros(len(rows))
         for fold in range(FOLDS):
             out = np.flatnonzero(groups % FOLDS == fold)
             rest = np.flatnonzero(groups % FOLDS != fold)
-            part = Linear(c).fit([rows[i] for i in rest], before[rest], y[rest, c], weight[rest], c + 10 * fold)
+            part = Linear(c).fit([rows[i] for i in rest], before[rest], y[rest, c], weight[rest], c + 10 * fold, epochs)
             unseen[out] = part.odds([rows[i] for i in out], before[out])
         before = np.column_stack([before, np.clip(unseen, -6, 6)])
     return models
@@ -240,7 +240,7 @@ def fit(labelled: list[tuple[str, str]]) -> Toxicity:
             examples.setdefault(tuple(p), (k, 1.0))
     bad_words = {w for p, (k, _) in examples.items() if k != "none" for w in p}
 
-    def build(rows: dict[tuple[str, ...], tuple[str, float]]) -> Toxicity:
+    def build(rows: dict[tuple[str, ...], tuple[str, float]], epochs: int) -> Toxicity:
         vocabulary = Vocabulary(bad_words)
         keys = sorted(rows)
         feats = [_features(vocabulary, list(p)) for p in keys]
@@ -248,7 +248,7 @@ def fit(labelled: list[tuple[str, str]]) -> Toxicity:
         weight = np.array([rows[p][1] for p in keys])
         # sentences with the same opening stay in one fold
         groups = np.array([_hash(" ".join(p[:3])) for p in keys])
-        return Toxicity(vocabulary, _chain(feats, y, weight, groups))
+        return Toxicity(vocabulary, _chain(feats, y, weight, groups, epochs))
 
     # ordinary sentences of harmless documents, each opening once
     clean: dict[tuple[str, ...], tuple[str, ...]] = {}
@@ -261,7 +261,7 @@ def fit(labelled: list[tuple[str, str]]) -> Toxicity:
                 clean.setdefault(p[:4], p)
             else:
                 suspects.append((p, label))
-    first = build(examples | {p: ("none", 0.5) for p in list(clean.values())[:3000]})
+    first = build(examples | {p: ("none", 0.5) for p in list(clean.values())[:3000]}, FIRST_EPOCHS)
     if suspects:
         scores = first.stretch_scores([list(p) for p, _ in suspects])
         for (p, label), s in zip(suspects, scores):
@@ -278,7 +278,7 @@ def fit(labelled: list[tuple[str, str]]) -> Toxicity:
         for p, s in zip(harmless, scores):
             if s.max() < 0.9:
                 examples.setdefault(p, ("none", 0.5))
-    return build(examples)
+    return build(examples, EPOCHS)
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
