@@ -125,5 +125,9 @@ def sentences(n: int, seed: int = 5) -> list[tuple[str, str]]:
         text = fill(text, extra)
         if r.random() < 0.1:
             text = text.upper()
+        if r.random() < 0.08:  # spaced letters lose the gaps between words
+            words = text.split()
+            at = r.randrange(len(words))
+            text = " ".join([*words[:at], "".join(words[at : at + 3]), *words[at + 3 :]])
         out.append((text, kind))
     return out
