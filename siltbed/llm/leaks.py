@@ -105,14 +105,16 @@ def _align(doc: np.ndarray, item: np.ndarray) -> tuple[int, list[tuple[int, int]
 
 def _longest(path: list[tuple[int, int]]) -> int:
     """Most item words in a stretch of at least ten of which one in ten may differ, 0 if there is none."""
-    best = 0
+    best, edits = 0, [0]
+    for (i, j), (k, m) in zip(path, path[1:]):
+        edits.append(edits[-1] + max(k - i, m - j) - 1)
     for a in range(len(path)):
         for b in range(len(path) - 1, a, -1):
-            span = max(path[b][0] - path[a][0], path[b][1] - path[a][1]) + 1
+            span = path[b][0] - path[a][0] + 1
+            different = edits[b] - edits[a]
             # a differing word may also be the first or the last one
-            different = span - (b - a + 1)
             edge = 1 if span < WINDOW else 0
-            if span + edge >= WINDOW and (different + edge) * WINDOW <= MAX_DIFFERENT * max(span + edge, WINDOW):
+            if span + edge >= WINDOW and (different + edge) * WINDOW <= MAX_DIFFERENT * (span + edge):
                 best = max(best, b - a + 1)
                 break
     return best
