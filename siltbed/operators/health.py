@@ -28,7 +28,7 @@ def parse_report(df: DataFrame, column: str) -> DataFrame:
 
 def attribute(report: Column, number: int) -> Column:
     """First attribute with this id."""
-    return F.filter(report["ata_smart_attributes"]["table"], lambda a: a["id"] == number)[0]
+    return F.get(F.filter(report["ata_smart_attributes"]["table"], lambda a: a["id"] == number), F.lit(0))
 
 
 def reasons(report: Column) -> tuple[Column, Column]:
