@@ -32,13 +32,13 @@ DIGIT_WORDS = "zero one two three four five six seven eight nine".split()
 # Fixed lists of running text: subjects, predicates, objects and endings of each language.
 FILL = {
     "eng": ("The first scan|Our lab|This tool|A worn head|The night shift|The customer|Nobody here|The carver|A loose cable|The technician|The backup server|My colleague|She|It", "restored|copied|cannot read|skipped|has replaced|lost|found|damaged|rebuilt|checked|didn’t touch|marked|opened|sent", "the broken sectors|the log of the run|two old archives|most of the photos|an empty volume|the whole image|a deleted folder|the boot record|the partition table|the file names|every second block|the missing videos", "|without any warning|at sector 53321|with 21283 errors left|because the power failed|after a long pause|as the manual says|in about 3840 minutes|during the third pass|on the spare machine"),
-    "deu": ("Der Techniker|Die Sicherung|Ein loses Kabel|Unser Labor|Niemand im Büro|Der Kunde|Die alte Platte|Das Werkzeug|Die Nachtschicht|Der Lesekopf", "repariert|löscht|überspringt|findet|kopiert|prüft|zählt|öffnet|verliert|beschädigt", "das ganze Abbild|die Partitionstabelle|jeden zweiten Block|zwei ältere Archive|die fehlenden Aufnahmen|den größten Teil der Bilder|einen gelöschten Ordner|die Dateinamen", "|ohne jede Warnung|bei Sektor 7364|mit 4984 übrigen Fehlern|weil der Strom ausfiel|wie im Handbuch beschrieben|in etwa 84987 Minuten"),
-    "fra": ("Le technicien|La deuxième passe|Notre laboratoire|Cet outil|L’index du volume|Une tête usée|Un câble abîmé|Personne ici|Le client", "copie|ignore|a réparé|ne lit plus|vérifie|restaure|a effacé|abîme", "les secteurs défectueux|le journal de la séance|toute l’image du disque|deux vieilles archives|la plupart des photos|un dossier supprimé", "|sans aucun avertissement|au secteur 8713|avec 1412 erreurs restantes|pendant la troisième passe|en 37785 minutes environ"),
-    "spa": ("El técnico|La segunda pasada|Nuestro laboratorio|Esta herramienta|Nadie aquí|Un cabezal gastado|El servidor de respaldo", "copió|borró|no puede leer|reparó|encontró|revisa|perdió|dañó", "la tabla de particiones|todas las fotos|una carpeta eliminada|los vídeos que faltaban|dos archivos antiguos", "|en el sector 8027|como explica el manual|con 1776 errores aún pendientes|por segunda vez esta semana"),
-    "ita": ("Il tecnico|La seconda passata|Il nostro laboratorio|Questo strumento|Nessuno qui|Una testina usurata", "ha copiato|salta|non legge più|ripara|ha trovato|conta", "i settori difettosi|tutta l’immagine del disco|due vecchi archivi|i filmati mancanti|la tabella delle partizioni", "|senza alcun avviso|al settore 51952|in circa 96046 minuti|come spiega il manuale"),
-    "por": ("O técnico|A segunda leitura|O nosso laboratório|Esta ferramenta|Ninguém aqui|Um cabo solto", "copiou|apagou|não consegue ler|recuperou|verificou", "a tabela de partições|quase todas as fotografias|uma pasta excluída|dois arquivos antigos|o registo de arranque", "|no setor 77869|depois de uma longa pausa|em cerca de 50093 minutos"),
-    "nld": ("De technicus|De tweede ronde|Ons lab|Dit gereedschap|Niemand hier|Een losse kabel", "herstelt|kopieert|wist|opent|vindt|controleert", "de kapotte sectoren|het hele beeld|de partitietabel van het volume|een verwijderde map|twee oudere archieven", "|bij sector 33807|zonder enige waarschuwing|na een lange pauze"),
-    "pol": ("Nasz technik|Drugi przebieg|Całe laboratorium|To narzędzie|Nikt tutaj|Luźny kabel", "naprawia|kopiuje|usuwa|odczyta|pomija|sprawdza|zlicza", "uszkodzone sektory|cały obraz dysku|skasowany folder|dwa starsze archiwa|co drugi blok danych", "|bez żadnego ostrzeżenia|przy sektorze 53321|w około 10422 minut"),
+    "deu": ("Der Techniker|Die Sicherung|Ein loses Kabel|Unser Labor|Niemand im Büro|Der Kunde|Die alte Platte|Das Werkzeug|Die Nachtschicht|Der Lesekopf|Der zweite Durchlauf|Die Steuerung", "repariert|löscht|überspringt|findet|kopiert|prüft|zählt|öffnet|verliert|beschädigt|hält", "das ganze Abbild|die Partitionstabelle|jeden zweiten Block|zwei ältere Archive|die fehlenden Aufnahmen|den größten Teil der Bilder|einen gelöschten Ordner|die Dateinamen|den Schlüssel zum Gehäuse|das Protokoll des Laufs|die übrigen Dateien|die defekten Sektoren", "|ohne jede Warnung|bei Sektor 7364|mit 4984 übrigen Fehlern|weil der Strom ausfiel|wie im Handbuch beschrieben|in etwa 84987 Minuten|auf dem Ersatzgerät|nach einer längeren Pause|zum zweiten Mal in dieser Woche|bevor die Platte abkühlt|während der dritten Prüfung"),
+    "fra": ("Le technicien|La deuxième passe|Notre laboratoire|Cet outil|L’index du volume|Une tête usée|Un câble abîmé|Personne ici|Le client|La première analyse|Le serveur de secours|Le vieux contrôleur", "copie|ignore|a réparé|ne lit plus|vérifie|restaure|a effacé|abîme|a perdu|retrouve|a déplacé", "les secteurs défectueux|le journal de la séance|toute l’image du disque|deux vieilles archives|la plupart des photos|un dossier supprimé|la table des partitions|le secteur de démarrage|les noms des fichiers|un bloc sur deux|les vidéos manquantes", "|sans aucun avertissement|au secteur 8713|avec 1412 erreurs restantes|pendant la troisième passe|en 37785 minutes environ|comme l’indique le manuel|parce que le courant a été coupé|sur la machine prêtée|avant que le disque ne chauffe|pour la deuxième fois cette semaine|après une longue pause"),
+    "spa": ("El técnico|La segunda pasada|Nuestro laboratorio|Esta herramienta|Nadie aquí|Un cabezal gastado|El servidor de respaldo|El primer análisis|El disco viejo|Un cable suelto|El índice del volumen|El cliente", "copió|borró|no puede leer|reparó|encontró|revisa|perdió|dañó|omitió|contó|restauró", "la tabla de particiones|casi todas las fotos|una carpeta eliminada|los vídeos que faltaban|dos archivos antiguos|los nombres de los ficheros|el informe de la sesión|toda la imagen del disco|los sectores dañados|el registro de arranque|uno de cada dos bloques", "|en el sector 8027|como explica el manual|con 1776 errores aún pendientes|por segunda vez esta semana|durante la tercera lectura|después de una pausa larga|porque se cortó la luz|en unos 39080 minutos|sin ningún aviso|antes de que se enfríe el disco|en la máquina prestada"),
+    "ita": ("Il tecnico|La seconda passata|Il nostro laboratorio|Questo strumento|Nessuno qui|Una testina usurata|Un cavo allentato|L’indice del volume|La prima scansione|Il vecchio disco|Il server di riserva|Il cliente", "ha copiato|salta|non legge più|ha riparato|ha trovato|conta|danneggia|controlla|ha perso|ha cancellato|ha recuperato", "i settori difettosi|tutta l’immagine del disco|due vecchi archivi|i filmati mancanti|la tabella delle partizioni|i nomi dei documenti|il settore di avvio|un blocco su due|una cartella eliminata|il registro della sessione|quasi tutte le fotografie", "|senza alcun avviso|al settore 51952|in circa 96046 minuti|come spiega il manuale|sulla macchina di scorta|durante la terza lettura|prima che il disco si raffreddi|perché è mancata la corrente|con 68254 errori rimasti|dopo una lunga pausa|per la seconda volta questa settimana"),
+    "por": ("O técnico|A segunda leitura|O nosso laboratório|Esta ferramenta|Ninguém aqui|Um cabo solto|O disco antigo|O servidor de cópias|Uma cabeça gasta|A primeira análise|O índice do volume|O cliente", "copiou|apagou|não consegue ler|recuperou|verificou|perdeu|contou|danificou|ignorou|encontrou|reparou", "a tabela de partições|quase todas as fotografias|uma pasta excluída|dois arquivos antigos|o registo de arranque|os vídeos em falta|os nomes dos ficheiros|o relatório da sessão|os setores com falhas|toda a imagem do disco|um em cada dois blocos", "|no setor 77869|depois de uma longa pausa|em cerca de 50093 minutos|como explica o manual|durante a terceira leitura|pela segunda vez nesta semana|antes que o disco arrefeça|com 6481 erros ainda por ler|porque faltou a luz|na máquina emprestada|sem nenhum aviso"),
+    "nld": ("De technicus|De tweede ronde|Ons lab|Dit gereedschap|Niemand hier|Een losse kabel|De nachtploeg|De klant|De oude schijf|De reserveserver|Een versleten kop|De eerste scan", "herstelt|kopieert|wist|opent|vindt|controleert|beschadigt|verliest|telt|bewaart|slaat", "de kapotte sectoren|het hele beeld|de partitietabel van het volume|een verwijderde map|twee oudere archieven|de ontbrekende filmpjes|ieder tweede blok|de namen van alle bestanden|de meeste van de foto’s", "|bij sector 33807|zonder enige waarschuwing|na een lange pauze|in ongeveer 86269 minuten|omdat de stroom uitviel|tijdens de derde controle"),
+    "pol": ("Nasz technik|Drugi przebieg|Całe laboratorium|To narzędzie|Nikt tutaj nie|Luźny kabel|Nocna zmiana|Każdy klient|Stary dysk|Serwer zapasowy|Zużyta głowica|Pierwszy odczyt", "naprawia|kopiuje|usuwa|odczyta|pomija|sprawdza|zlicza|uszkadza|traci|znajduje|odzyskuje", "uszkodzone sektory|cały obraz dysku|skasowany folder|dwa starsze archiwa|co drugi blok danych|nazwy wszystkich plików|brakujące nagrania|dziennik całej sesji|tablicę partycji|większość starych zdjęć", "|bez żadnego ostrzeżenia|przy sektorze 53321|w około 10422 minut|zanim dysk ostygnie|bo zabrakło prądu|podczas trzeciej próby|po dłuższej przerwie|jak podaje instrukcja|już drugi raz w tym tygodniu|na pożyczonym sprzęcie"),
     "rus": ("Наш техник|Второй проход|Вся лаборатория|Этот инструмент|Никто здесь|Плохой кабель", "чинит|копирует|удаляет|читает|пропускает|находит", "повреждённые секторы|весь образ диска|удалённую папку|два старых архива|почти все фотографии", "|без всякого предупреждения|на секторе 58509|после долгой паузы"),
 }
 FILL = {k: [part.split("|") for part in v] for k, v in FILL.items()}
@@ -170,6 +170,10 @@ class Examples:
         n = lambda k=5: str(r.randint(0, 10**k))
         if r.random() < 0.12:
             return r.choice([f"4000{d(12)} {n()} {hexa(8)}", f"{d(16)} {n()} {hexa(8)}", f"20{d(2)}-{d(2)}-{n()} 000-45-6789 {hexa(8)}", f"20{d(2)}-{d(2)}-{n()} {d(3)}-{d(2)}-{d(4)} {hexa(8)}"])
+        if r.random() < 0.2:
+            k = lambda: str(r.randint(0, 99))
+            tail = r.choice([f"(fw {k()}.{k()}.{k()}.{d(1)})", f"@{k()}.{k()}.{k()}-rc{d(1)}", f"[{k()}:{k()}:{k()}.{d(1)}]", f"(v{k()}.{k()}.{k()})", f"build {k()}.{k()}.{k()}.{k()}", f"lane {k()}, bay {k()}, rack {k()}-{d(1)}", f"rev {k()}.{k()}.{k()}", f"({k()}/{k()})"])
+            return f"{self.sentence()}{r.choice([' ', ' ', ': ', ', '])}{tail}"
         return r.choice([
             lambda: f"{self.sentence()}, SN {d(7)}X{d(3)}", lambda: f"{self.sentence()}: LBA {d(9)}", lambda: f"{self.sentence()} #{d(7)}", lambda: f"{self.sentence()} @{d(2)}.{d(2)}.{d(2)}-rc{d(1)}",
             lambda: f"{self.sentence()} [{d(2)}:{d(2)}:{d(2)}.{d(1)}]", lambda: f"{self.sentence()}, lane {d(2)}, bay {d(2)}, rack {d(2)}-{d(1)}", lambda: f"0x{hexa(8)} 0x{hexa(8)} +{n()}",
