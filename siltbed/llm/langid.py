@@ -35,6 +35,8 @@ SWITCH_BITS = 16.0
 MIN_WORDS, SEGMENT_WORDS, SEGMENT_LETTERS = 4, 3, 12
 CLAUSE = re.compile(r"[.!?;:/|—–,↵\n\r\t]+|\s-\s")
 PII_CUE = re.compile(r"\d|@|＠|%40|\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b|[\[({ ]at[\])} ]", re.I)
+#: A dot behind these ends no clause.
+ABBREVIATION = re.compile(r"(nr|no|tel|str|dr|mr|mrs)\.(?=\s)", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]*)*")
 
 
@@ -54,7 +56,7 @@ def _tokens(clause: str) -> list[str]:
 
 def longest_clause(text: str) -> int:
     """Words of the longest clause."""
-    return max(len(_tokens(c)) for c in CLAUSE.split(text))
+    return max(len(_tokens(c)) for c in CLAUSE.split(ABBREVIATION.sub(r"\1", text)))
 
 
 def running(text: str) -> bool:
