@@ -37,3 +37,22 @@ def carved_name(name: Column, extension: Column, offset: Column, prefix: str = "
     """The known name made safe, else ``<prefix>_<ext>_<offset>.<ext>``."""
     own = safe_name(name)
     return F.when(F.length(own) > 0, own).otherwise(F.concat(F.lit(f"{prefix}_"), extension, F.lit("_"), offset.cast("string"), F.lit("."), extension))
+
+
+def image_name(serial: Column, day: Column) -> Column:
+    """``<serial>_<yyyyMMdd>.img`` of letters and figures; ``disk`` without a serial."""
+    clean = F.regexp_replace(F.coalesce(serial, F.lit("")), r"[^0-9A-Za-z]", "")
+    return F.concat(F.when(F.length(clean) > 0, clean).otherwise("disk"), F.lit("_"), F.date_format(day, "yyyyMMdd"), F.lit(".img"))
+
+
+# Groups of carved formats by extension.
+GROUPS = {
+    "Images": "jpg png gif bmp tif webp heic psd ico jp2 bpg xcf exr dpx pcx djvu", "RAW Photos": "arw cr2 cr3 nef orf rw2 raf pef sr2 dcr crw mrw x3f", "Video": "mp4 mov m4v 3gp avi mkv webm wmv flv mpg ts m2ts rm swf wtv",
+    "Audio": "mp3 wav flac ogg m4a aac mid aif wv ape au", "Archives": "zip rar 7z gz xz bz2 tar cab lzh jar", "Documents": "pdf ole rtf xml html vcf ics epub odt msg eml chm indd cdr",
+    "Databases": "db pst kdbx kdb h5 parquet fits", "Disk images": "vmdk vhd vhdx qcow2 vdi iso e01 aff luks", "Programs": "exe elf macho class dex pyc php sh",
+}
+
+
+def format_group(extension: Column) -> Column:
+    table = {e: g for g, words in GROUPS.items() for e in words.split()}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.lower(extension)], F.lit("System"))

@@ -18,6 +18,7 @@ from siltbed.operators.carving import scan as C
 from siltbed.operators.carving import sizes as Z
 from siltbed.operators.carving.checks import CHECKS, passes
 from siltbed.operators.carving.signatures import SIGNATURES, user_signature
+from siltbed.streaming import guards
 
 
 def scanned(spark, *texts):
@@ -224,7 +225,7 @@ def test_guard_stream(spark, tmp_path):
     rows = [(1, f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}", s * 100 if s < 300 else 30_000 + (s - 300) * 10, 60.0 if 30 <= s < 60 else 45.0) for s in range(0, 600, 10)]
     src = spark.createDataFrame(rows, "device long, ts string, bytes_done long, temperature double").withColumn("ts", F.to_timestamp("ts"))
     src.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = H.guard_stream(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in")))
+    stream = guards.guard_stream(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.format("memory").queryName("guard_events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r.event for r in spark.table("guard_events").orderBy("ts").collect()] == ["pause: heat", "resume: heat", "pause: speed"]
