@@ -26,8 +26,13 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path, depth, root and the interval of descendants of every node that reaches a root."""
-    return _tree(spark, sf_dir).drop("ancestors")
+    """Path, depth, root and number of descendants of every node that reaches a root."""
+    return _tree(spark, sf_dir).select("image_id", "ino", "parent_ino", "root_ino", "depth", "path", "n_descendants")
+
+
+def p1_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heavy chain and interval of descendants of every node that reaches a root."""
+    return _tree(spark, sf_dir).select("image_id", "ino", "root_ino", "chain_head", "chain_pos", "first", "last")
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ _DOWN = """, reach AS (
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_descendants": p1_descendants, "p1_paths": p1_paths, "p1_tree_stats": p1_tree_stats}
+    return {"p1_found": p1_found, "p1_descendants": p1_descendants, "p1_paths": p1_paths, "p1_chains": p1_chains, "p1_tree_stats": p1_tree_stats}
 
 
 def p1_tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +99,10 @@ def oracle_sql() -> dict:
               JOIN oncycle o ON o.image_id = w.image_id AND o.ino = w.at GROUP BY 1, 2""",
         "p1_descendants": f"""WITH RECURSIVE {_NODES}{_DOWN}
             SELECT image_id, unnest(anc) AS ino, ino AS descendant_ino FROM reach""",
+        "p1_paths": f"""WITH RECURSIVE {_NODES}{_DOWN}, pairs AS (SELECT image_id, unnest(anc) AS ino FROM reach),
+            below AS (SELECT image_id, ino, count(*) AS n FROM pairs GROUP BY 1, 2)
+            SELECT r.image_id, r.ino, t.parent AS parent_ino, r.root_ino, CAST(r.depth AS BIGINT) AS depth, CASE WHEN r.p = '' THEN '/' ELSE r.p END AS path, coalesce(n, 0) AS n_descendants
+            FROM reach r JOIN tree t USING (image_id, ino) LEFT JOIN below USING (image_id, ino)""",
         "p1_tree_stats": f"""WITH RECURSIVE {_NODES}{_DOWN}
             SELECT image_id, count(*) AS n_nodes, CAST(sum(CASE WHEN depth = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_roots,
               CAST(max(depth) AS BIGINT) AS max_depth, CAST(sum(depth) AS BIGINT) AS n_pairs FROM reach GROUP BY image_id""",

@@ -59,3 +59,21 @@ def test_quality(spark):
     for e in Q.RULES:
         for _ in range(20):
             assert Q.judge(e, rng.randbytes(rng.randint(0, 300))) in ("Complete", "Corrupt")
+
+
+def test_preview(spark):
+    from siltbed.operators.carving import preview as V
+
+    zipped = struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 20, 0, 0, 0, 0, 0, 3, 3, 5, 0) + b"a.txtabc" + struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 20, 0, 0, 0, 0, 0, 0, 0, 1, 0) + b"b"
+    assert V.describe("zip", zipped)["entries"] == "a.txt, b"
+    assert V.describe("gif", b"GIF89a" + struct.pack("<HH", 7, 9) + b"\0" * 5)["size"] == "7x9"
+    assert V.describe("pdf", b"%PDF /Title (Report) /Author(A)") == {"format": "PDF", "title": "Report", "author": "A"}
+    assert V.describe("xyz", b"abc") == {"format": "XYZ"} and V.describe("exe", b"MZ") == {"format": "EXE"} and V.describe(None, None) == {"format": ""}
+    link = bytearray(76 + 40)
+    struct.pack_into("<I", link, 20, 2)
+    struct.pack_into("<I", link, 76 + 16, 28)
+    body = bytes(link[:104]) + b"C:\\dir\\file.txt\0"
+    assert V.lnk_name(body) == "file.txt" and V.lnk_name(b"x") is None
+    assert V.prefetch_name(bytes(16) + "CMD.EXE".encode("utf-16-le") + bytes(60)) == "cmd.exe"
+    df = spark.createDataFrame([("gif", b"GIF89a" + struct.pack("<HH", 7, 9) + b"\0" * 5), (None, None)], "e string, c binary")
+    assert [r.v["format"] for r in df.select(V.preview(F.col("e"), F.col("c")).alias("v")).collect()] == ["GIF", ""]
