@@ -134,7 +134,7 @@ def cost(word: str) -> float:
     for i in range(1, len(word)):
         after = word[i + 1] if i + 1 < len(word) else ""
         total += _pair(word[i - 1], word[i], after, kinds[i - 1][0], kinds[i][0], upper)
-    if word[0] in "ÌÒÙ" and word[1:2].islower() or word in ("Ám", "Æm"):
+    if (word[:1] in ("Ì", "Ò", "Ù") and word[1:2].islower()) or word in ("Ám", "Æm"):
         total += 2.0
     if upper and len(letters) > 2:
         total += 1.2 * sum(c.islower() and ord(c) > 127 for c in word)

@@ -37,3 +37,9 @@ def test_rows(spark):
     got = {r.id: (r.restored, r.lost) for r in garble.find_garbled(df, "t", "id").collect()}
     assert got[1] == ("sesión", False) and got[4] == (None, True) and set(got) == {1, 4, 6}
     assert garble.find_garbled(df.limit(0), "t", "id").count() == 0
+
+
+def test_cut_sequence_at_the_end():
+    fixed, layers, _ = garble.repair("la sesiÃ³n â†")
+    assert layers == 1 and fixed.startswith("la sesión")
+    assert garble.cost("") == 0
