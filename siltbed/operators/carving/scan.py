@@ -141,3 +141,35 @@ def sized(hits: DataFrame, paths: dict[int, str], signatures: list[Signature] =
 def summary(extracted: DataFrame) -> DataFrame:
     """Counts per status and the bytes written."""
     return extracted.groupBy("status").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"))
+
+
+def duplicates(hits: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """``hits`` with ``duplicate``: whether an earlier hit has the same first 4 KiB.
+
+    ``fingerprints``: ``image_id, byte_offset, fingerprint`` (null where they can't be read: no duplicate). The
+    first hit of each fingerprint is an aggregate, so many copies are reduced before the shuffle.
+    """
+    first = fingerprints.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min(F.struct("image_id", "byte_offset")).alias("f"))
+    marked = fingerprints.distinct().join(first, "fingerprint", "left")
+    known = marked.select("image_id", "byte_offset", (F.struct("image_id", "byte_offset") != F.col("f")).alias("duplicate"))
+    return hits.join(known, ["image_id", "byte_offset"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+
+
+def fingerprints(hits: DataFrame, paths: dict[int, str], size: int = 4096) -> DataFrame:
+    """``image_id, byte_offset, fingerprint`` from the first bytes at each hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for b in batches:
+            out = []
+            for image, at in zip(b["image_id"].to_pylist(), b["byte_offset"].to_pylist()):
+                try:
+                    with open(paths[image], "rb") as f:
+                        f.seek(at)
+                        out.append(hashlib.sha256(f.read(size)).hexdigest())
+                except (OSError, KeyError):
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([b["image_id"], b["byte_offset"], pa.array(out, pa.string())], names=["image_id", "byte_offset", "fingerprint"])
+
+    return hits.select("image_id", "byte_offset").mapInArrow(run, "image_id bigint, byte_offset bigint, fingerprint string")

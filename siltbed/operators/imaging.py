@@ -72,3 +72,22 @@ def scrape_pass(blocks: DataFrame, bad: DataFrame) -> DataFrame:
 def known_bad(blocks: DataFrame, bad: DataFrame, size: int) -> DataFrame:
     """Sectors a drive reports as bad, as updates for an overlay: only those inside the device."""
     return bad.where((F.col("sector") >= 0) & (F.col("sector") < size)).select("device", F.col("sector").alias("pos"), F.lit(1).cast("long").alias("size"), F.lit("-").alias("status"))
+
+
+def sweep_pass(blocks: DataFrame, bad: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Whatever is still untried, read as in trimming."""
+    left = blocks.withColumn("status", F.when(F.col("status") == "?", "*").otherwise(F.when(F.col("status") == "*", "?").otherwise(F.col("status"))))
+    swept = trim_pass(left, bad, chunk)
+    return merge_islands(swept.withColumn("status", F.when(F.col("status") == "?", "*").otherwise(F.col("status"))), ["device"])
+
+
+def retry_pass(blocks: DataFrame, bad: DataFrame, recovers: DataFrame, attempts: int = 3) -> DataFrame:
+    """Bad blocks again: a sector that ``recovers`` (``device, sector, attempt``) within the attempts becomes ``+``.
+
+    The direction of an attempt doesn't change which sectors answer, so all attempts are one join.
+    """
+    ok = recovers.where(F.col("attempt") <= attempts).select("device", "sector").distinct()
+    still = bad.select("device", "sector").distinct().join(ok, ["device", "sector"], "left_anti")
+    again = blocks.withColumn("status", F.when(F.col("status") == "-", "/").otherwise(F.when(F.col("status") == "/", "~").otherwise(F.col("status"))))
+    done = scrape_pass(again, still)
+    return merge_islands(done.withColumn("status", F.when(F.col("status") == "~", "/").otherwise(F.col("status"))), ["device"])

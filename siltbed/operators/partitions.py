@@ -116,3 +116,30 @@ def byte_classes(content: Column) -> Column:
     zero, ff = F.regexp_count(raw, F.lit(r"\x00")), F.regexp_count(raw, F.lit(r"\xff"))
     printable = F.regexp_count(raw, F.lit(r"[\x20-\x7e]"))
     return F.struct(zero.alias("zero"), ff.alias("ff"), printable.alias("printable"), (F.octet_length(content) - zero - ff - printable).alias("other"))
+
+
+def probe(areas: DataFrame) -> DataFrame:
+    """The first known file system of each image from its boot areas ``image_id, rank, start_byte, content``.
+
+    ``rank`` orders the places: the device itself, then its MBR slots, then its GPT entries.
+    """
+    known = areas.select("image_id", "rank", "start_byte", fs_type(F.col("content")).alias("fs")).where("fs <> 'Unknown'")
+    return known.groupBy("image_id").agg(F.min(F.struct("rank", "start_byte", "fs")).alias("f")).select("image_id", "f.start_byte", "f.fs")
+
+
+def scan_boot_areas(chunks: DataFrame, step: int = 512) -> DataFrame:
+    """``image_id, start_byte, fs`` of boot areas at every ``step`` bytes of ``image_id, base_offset, content, report`` chunks."""
+    marks = ((3, b"NTFS    ", "NTFS"), (82, b"FAT32   ", "FAT32"), (54, b"FAT16   ", "FAT16"), (1080, b"\x53\xef", "ext4"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for image, base, data, report in zip(*(b[c].to_pylist() for c in ("image_id", "base_offset", "content", "report"))):
+                for at in range(-base % step, report, step):
+                    found = next((fs for o, mark, fs in marks if (data or b"")[at + o : at + o + len(mark)] == mark), None)
+                    if found:
+                        rows.append((image, base + at, found))
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["image_id", "start_byte", "fs"])
+
+    return chunks.select("image_id", "base_offset", "content", "report").mapInArrow(run, "image_id bigint, start_byte bigint, fs string")
