@@ -10,6 +10,8 @@ import re
 import struct
 from collections.abc import Callable
 
+import numpy as np
+
 Test = Callable[[bytes, int], bool]
 
 
@@ -360,6 +362,34 @@ CHECKS: dict[str, tuple[int, Test]] = {
 }
 
 
+#: For headers of one byte: what the check asks of single bytes, looked up for all matches at once.
+PREFILTER: dict[str, dict[int, tuple[int, ...]]] = {
+    "ts": {188: (0x47,), 376: (0x47,)},
+    "m2ts": {196: (0x47,), 388: (0x47,)},
+    "pcx": {1: (0, 2, 3, 4, 5), 2: (0, 1), 3: (1, 2, 4, 8), 64: (0,), 65: (1, 3, 4)},
+}
+
+
+def prefiltered(name: str, data: bytes, header: tuple[int | None, ...], report: int) -> list[int] | None:
+    """Places of a one-byte header that may pass the check; None where there is no such list for the format.
+
+    A place too close to the end to be looked up stays in.
+    """
+    fixed = [(k, b) for k, b in enumerate(header) if b is not None]
+    if name not in PREFILTER or len(fixed) != 1:
+        return None
+    (at, byte), all_ = fixed[0], np.frombuffer(data, np.uint8)
+    last = max(0, min(report, len(data) - len(header) + 1))
+    places = np.flatnonzero(all_[at : at + last] == byte)
+    enough = places + CHECKS[name][0] <= len(data)
+    for offset, allowed in PREFILTER[name].items():
+        table = np.zeros(256, bool)
+        table[list(allowed)] = True
+        keep = ~enough | table[all_[np.minimum(places + offset, len(data) - 1)]]
+        places, enough = places[keep], enough[keep]
+    return places.tolist()
+
+
 def passes(name: str, data: bytes, at: int) -> bool:
     """Whether a match at ``at`` may start a file; formats without a check always may."""
     if not name or name not in CHECKS:

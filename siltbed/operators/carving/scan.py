@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import mmap
 import os
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.operators import intervals
-from siltbed.operators.carving.checks import passes
-from siltbed.operators.carving.signatures import SIGNATURES, Signature
+from siltbed.operators.carving.checks import passes, prefiltered
+from siltbed.operators.carving.signatures import SIGNATURES, Signature, header_positions
 from siltbed.operators.carving.sizes import REQUIRED, resolve
 
 CHUNK = 4 << 20
@@ -61,35 +63,66 @@ def image_chunks(spark: SparkSession, paths: list[tuple[int, str]], chunk: int =
 
 def find_all(sig: Signature, data: bytes, base: int, report: int) -> Iterator[int]:
     """Offsets of the files whose headers begin in the first ``report`` bytes and pass the check."""
-    pattern = sig.pattern()
-    if pattern is None:
-        return
-    for m in pattern.finditer(data):
-        if m.start() >= report:
-            return
-        if base + m.start() >= sig.header_offset and passes(sig.check, data, m.start()):
-            yield base + m.start() - sig.header_offset
+    for at in sig.positions(data, report):
+        if base + at >= sig.header_offset and passes(sig.check, data, at):
+            yield base + at - sig.header_offset
+
+
+class Matcher:
+    """All headers at once: one look-up over pairs of bytes finds the places worth comparing.
+
+    Each header is represented by one pair of its fixed bytes, preferably without zeros, which fill disks. Headers
+    with a single fixed byte are looked up by what their checks ask of other bytes.
+    """
+
+    def __init__(self, signatures: list[Signature]) -> None:
+        groups: dict[tuple, list[Signature]] = {}
+        for s in signatures:
+            groups.setdefault(s.header, []).append(s)
+        self.pairs: dict[int, list[tuple[int, int, list[tuple[int, bytes]], list[Signature]]]] = {}
+        self.single: list[tuple[tuple, list[Signature]]] = []
+        self.table = np.zeros(65536, bool)
+        for header, same in groups.items():
+            fit = [k for k in range(len(header) - 1) if header[k] is not None and header[k + 1] is not None]
+            if not fit:
+                self.single.append((header, same))
+                continue
+            at = min(fit, key=lambda k: (sum(b in (0, 0xFF, 0x20) for b in header[k : k + 2]), k))
+            code = header[at] << 8 | header[at + 1]
+            self.table[code] = True
+            segments = [(m.start(), bytes(header[m.start() : m.end()])) for m in re.finditer("x+", "".join("." if b is None else "x" for b in header))]
+            self.pairs.setdefault(code, []).append((at, len(header), segments, same))
+
+    def find(self, data: bytes, report: int) -> Iterator[tuple[int, Signature]]:
+        """Matches that begin in the first ``report`` bytes and pass their checks."""
+        raw = np.frombuffer(data, np.uint8)
+        codes = raw[:-1].astype(np.uint16) << 8 | raw[1:] if len(raw) > 1 else raw[:0].astype(np.uint16)
+        for at, code in zip((places := np.flatnonzero(self.table[codes])).tolist(), codes[places].tolist()):
+            for offset, size, segments, same in self.pairs[code]:
+                start = at - offset
+                if 0 <= start < report and start + size <= len(data) and all(data[start + k : start + k + len(x)] == x for k, x in segments):
+                    for s in same:
+                        if passes(s.check, data, start):
+                            yield start, s
+        for header, same in self.single:
+            found = prefiltered(same[0].check, data, header, report) if len(same) == 1 else None
+            for start in header_positions(header, data, report) if found is None else found:
+                for s in same:
+                    if passes(s.check, data, start):
+                        yield start, s
 
 
 def scan(chunks: DataFrame, signatures: list[Signature] = SIGNATURES) -> DataFrame:
     """All header matches that pass their checks, before gaps are enforced."""
-    groups: dict[bytes, list[tuple[Signature, object]]] = {}
-    for s in signatures:
-        if s.pattern() is not None:
-            groups.setdefault(s.pattern().pattern, []).append((s, s.pattern()))
+    matcher = Matcher(signatures)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for image, base, data, report in zip(*(b[c].to_pylist() for c in ("image_id", "base_offset", "content", "report"))):
-                for same in groups.values():
-                    for m in same[0][1].finditer(data or b""):
-                        at = m.start()
-                        if at >= report:
-                            break
-                        for s, _ in same:
-                            if base + at >= s.header_offset and passes(s.check, data, at):
-                                rows.append((image, base + at - s.header_offset, s.name, s.extension, s.ordinal, s.min_hit_gap, s.suppress_group or s.name))
+                for at, s in matcher.find(data or b"", report):
+                    if base + at >= s.header_offset:
+                        rows.append((image, base + at - s.header_offset, s.name, s.extension, s.ordinal, s.min_hit_gap, s.suppress_group or s.name))
             cols = list(zip(*rows)) or [[]] * 7
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in HITS.split(", ")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 # Name | extension | header (?? any byte) | footer | size rule | check | max size | min size | further settings.
@@ -169,11 +169,39 @@ class Signature:
     footer_extra: int = 0
     ordinal: int = field(default=0, compare=False)
 
-    def pattern(self) -> re.Pattern[bytes] | None:
-        """Overlapping search for the header; None for one without a fixed byte."""
-        if not any(b is not None for b in self.header):
-            return None
-        return re.compile(b"(?=" + b"".join(b"." if b is None else re.escape(bytes([b])) for b in self.header) + b")", re.S)
+    def positions(self, data: bytes, report: int) -> Iterator[int]:
+        """Places in the first ``report`` bytes where the header fits, overlapping ones too.
+
+        The longest run of fixed bytes is searched for, the others are compared; none for a header without a fixed byte.
+        """
+        return header_positions(self.header, data, report)
+
+
+def _anchor(header: tuple[int | None, ...]) -> tuple[int, bytes]:
+    """Longest run of fixed bytes and where it begins."""
+    best, run = (0, b""), bytearray()
+    for k, b in enumerate([*header, None]):
+        if b is not None:
+            run.append(b)
+            continue
+        if len(run) > len(best[1]):
+            best = (k - len(run), bytes(run))
+        run = bytearray()
+    return best
+
+
+def header_positions(header: tuple[int | None, ...], data: bytes, report: int) -> Iterator[int]:
+    at, literal = _anchor(header)
+    if not literal:
+        return
+    others = [(k, b) for k, b in enumerate(header) if b is not None and not at <= k < at + len(literal)]
+    last = min(report, len(data) - len(header) + 1)
+    found = data.find(literal, at)
+    while found >= 0 and found - at < last:
+        start = found - at
+        if all(data[start + k] == b for k, b in others):
+            yield start
+        found = data.find(literal, found + 1)
 
 
 def parse_hex(text: str) -> tuple[int | None, ...]:

@@ -16,8 +16,8 @@ from siltbed.operators import profiles as R
 from siltbed.operators import textblocks as X
 from siltbed.operators.carving import scan as C
 from siltbed.operators.carving import sizes as Z
-from siltbed.operators.carving.checks import CHECKS, passes
-from siltbed.operators.carving.signatures import SIGNATURES, user_signature
+from siltbed.operators.carving.checks import CHECKS, passes, prefiltered
+from siltbed.operators.carving.signatures import SIGNATURES, header_positions, user_signature
 from siltbed.streaming import guards
 
 
@@ -161,6 +161,40 @@ def test_signatures_and_checks():
         user_signature("x", "abc", "", "", 5)
 
 
+def test_header_positions():
+    rng = random.Random(8)
+    for _ in range(200):
+        header = tuple(rng.choice([None, 1, 2]) for _ in range(rng.randint(1, 5)))
+        data, report = bytes(rng.choice([1, 2]) for _ in range(rng.randint(0, 30))), rng.randint(0, 30)
+        fits = [k for k in range(min(report, max(0, len(data) - len(header) + 1))) if all(b is None or data[k + j] == b for j, b in enumerate(header))]
+        assert list(header_positions(header, data, report)) == (fits if any(b is not None for b in header) else [])
+
+
+def test_prefilter_loses_nothing():
+    rng = random.Random(3)
+    for s in SIGNATURES:
+        for _ in range(20):
+            data = bytearray(rng.choices([0x47, 0x0A, 0, 1, 5, 8], k=rng.randint(0, 900)))
+            report = rng.randint(0, len(data))
+            found = prefiltered(s.check, bytes(data), s.header, report)
+            if found is not None:
+                want = [p for p in s.positions(bytes(data), report) if passes(s.check, bytes(data), p)]
+                assert [p for p in found if passes(s.check, bytes(data), p)] == want
+
+
+def test_matcher_finds_what_single_searches_find():
+    rng = random.Random(6)
+    matcher = C.Matcher(SIGNATURES)
+    for _ in range(150):
+        data = bytearray(rng.randbytes(rng.randint(0, 1500)))
+        for s in rng.sample(SIGNATURES, 6):
+            at = rng.randint(0, len(data))
+            data[at : at + len(s.header)] = bytes(rng.randrange(256) if b is None else b for b in s.header)
+        data, report = bytes(data), rng.randint(0, len(data))
+        want = {(p, s.name) for s in SIGNATURES for p in s.positions(data, report) if passes(s.check, data, p)}
+        assert {(p, s.name) for p, s in matcher.find(data, report)} == want
+
+
 def test_sizes():
     assert Z.resolve("linear(@4,len=4,le,+8)", b"RIFF" + struct.pack("<I", 100), 0, 1000) == 108
     assert Z.png(b"junk" + png() + b"tail", 4, 1 << 20) == len(png())
