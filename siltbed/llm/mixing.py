@@ -224,9 +224,9 @@ def mix(docs: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, block: in
 def reached(mixed: DataFrame, have: DataFrame) -> DataFrame:
     """Per target source: target and reached share, tokens used and available, and the most often a document is used."""
     used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), (F.max("pass_no") + 1).alias("most_repeats"))
-    total = used.agg(F.sum("used_tokens").alias("total"))
+    total = used.agg(F.sum("used_tokens")).scalar()
     return (
-        have.join(used, "source", "left").crossJoin(F.broadcast(total))  # one row
-        .select("source", "target_share", (F.coalesce("used_tokens", F.lit(0)) / F.col("total")).alias("reached_share"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
+        have.join(used, "source", "left")
+        .select("source", "target_share", (F.coalesce("used_tokens", F.lit(0)) / total).alias("reached_share"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
                 F.col("available").alias("available_tokens"), "max_repeats", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
     )
