@@ -61,11 +61,10 @@ def extension_stats(listing: DataFrame, flag_bytes: int = 500 * 1024 * 1024) ->
         F.count("*").alias("n_files"), F.sum("size").alias("total_bytes"), F.bround(F.avg("size")).cast("long").alias("avg_bytes"),
         F.max("size").alias("max_bytes"), F.min("size").alias("min_bytes"),
     )
-    total = per.agg(F.sum("total_bytes").alias("all_bytes"))
-    # one row of totals
-    return per.crossJoin(F.broadcast(total)).select(
+    total = per.agg(F.sum("total_bytes")).scalar()
+    return per.select(
         "ext", "n_files", "total_bytes", "avg_bytes", "max_bytes", "min_bytes",
-        F.round(F.col("total_bytes") * 100 / F.col("all_bytes"), 1).alias("pct"), (F.col("max_bytes") > flag_bytes).alias("flagged"),
+        F.round(F.col("total_bytes") * 100 / total, 1).alias("pct"), (F.col("max_bytes") > flag_bytes).alias("flagged"),
     )
 
 
