@@ -35,6 +35,8 @@ SWITCH_BITS = 16.0
 MIN_WORDS, SEGMENT_WORDS, SEGMENT_LETTERS = 4, 3, 12
 CLAUSE = re.compile(r"[.!?;:/|—–,↵\n\r\t]+|\s-\s")
 PII_CUE = re.compile(r"\d|@|＠|%40|\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b|[\[({ ]at[\])} ]", re.I)
+_SIGNS = r"[\"'`*#()\[\]{}<>«»„“”…_~=+@$%^&\\]*"
+TOKEN = re.compile(rf"(?<!\S){_SIGNS}[^\W\d_]+(?:['’-][^\W\d_]*)*{_SIGNS}(?!\S)")
 #: A dot behind these ends no clause.
 ABBREVIATION = re.compile(r"(nr|no|tel|str|dr|mr|mrs)\.(?=\s)", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]*)*")
@@ -50,13 +52,9 @@ def _readable(text: str, spans: list[tuple[int, int, str]]) -> str:
     return (text if text.isascii() else garble.repair(text)[0]).lower()
 
 
-def _tokens(clause: str) -> list[str]:
-    return [w for w in (t.strip("\"'`*#()[]{}<>«»„“”…_~=+@$%^&\\") for t in clause.split()) if w and WORD.fullmatch(w)]
-
-
 def longest_clause(text: str) -> int:
-    """Words of the longest clause."""
-    return max(len(_tokens(c)) for c in CLAUSE.split(ABBREVIATION.sub(r"\1", text)))
+    """Words of the longest clause; signs around a word don't count, other tokens are no words."""
+    return max(len(TOKEN.findall(c)) for c in CLAUSE.split(ABBREVIATION.sub(r"\1", text) if ". " in text else text))
 
 
 def running(text: str) -> bool:
