@@ -146,6 +146,9 @@ def file_pairs(files: DataFrame) -> DataFrame:
 def _renames(values: DataFrame, fields: DataFrame, pairs: DataFrame, lost: DataFrame, came: DataFrame) -> DataFrame:
     """``file_id, old_field, new_field`` for fields that hold the same value for most common hits."""
     todo = cut(lost.select("file_id", "prev_id").intersect(came.select("file_id", "prev_id")))
+    # only files on either side of such a pair matter from here on
+    sides = todo.select("file_id").union(todo.select("prev_id")).distinct()
+    values = cut(values.join(sides, "file_id", "left_semi"))
     # the key of a pair of files: the two fields that have most values in common
     held = fields.select("file_id", "path", "n_lines")
     distinct = values.where(F.col("type").isin("string", "integer", "number")).select("file_id", "path", "value").distinct()
