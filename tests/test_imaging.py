@@ -20,9 +20,9 @@ def test_passes_like_a_loop(spark):
     bad = sorted(rng.sample(range(200), 12))
     blocks = spark.createDataFrame([(1, 0, 200, "?")], "device long, pos long, size long, status string")
     b = spark.createDataFrame([(1, s) for s in bad] + [(1, 9999)], "device long, sector long")
-    one = imaging.copy_pass(blocks, b, chunk=16)
+    one = imaging.copy_pass(blocks, b, chunk=16).cache()
     assert cells(one) == {s: "*" if any(x // 16 == s // 16 for x in bad) else "+" for s in range(200)}
-    two = imaging.trim_pass(one, b, chunk=16)
+    two = imaging.trim_pass(one, b, chunk=16).cache()
     want = {}
     for s in range(200):
         first = next((x for x in bad if x // 16 == s // 16), None)
