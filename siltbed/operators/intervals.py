@@ -61,16 +61,20 @@ def suppress_gap(hits: DataFrame, key: list[str], at: str, gap: str, tie: str, w
     schema = hits.schema
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, tie], kind="stable")
-        keep, last = [], None
-        for pos, g in zip(pdf[at], pdf[gap]):
+        pdf = pdf.sort_values([*key, "_start", at, tie], kind="stable")
+        keep, last, before = [], None, None
+        for stretch, pos, g in zip(zip(*(pdf[k] for k in [*key, "_start"])), pdf[at], pdf[gap]):
+            if stretch != before:
+                last, before = None, stretch
             ok = g == 0 or last is None or pos >= last + g
             keep.append(ok)
             if ok and g != 0:
                 last = pos
         return pdf.loc[keep, schema.names]
 
-    return runs.groupBy(*key, "_start").applyInPandas(walk, schema)
+    # many short stretches share a call; a call holds about a quarter of what a task of a shuffle holds
+    calls = 4 * int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.withColumn("_call", F.pmod(F.xxhash64(*key, "_start"), F.lit(calls))).groupBy("_call").applyInPandas(walk, schema)
 
 
 def merge_islands(blocks: DataFrame, key: list[str], width: int = OFFSET_BLOCK) -> DataFrame:
