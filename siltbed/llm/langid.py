@@ -34,7 +34,6 @@ SCORED = 300
 SWITCH_BITS = 16.0
 MIN_WORDS, SEGMENT_WORDS, SEGMENT_LETTERS = 4, 3, 12
 CLAUSE = re.compile(r"[.!?;:/|—–,↵\n\r\t]+|\s-\s")
-PII_CUE = re.compile(r"\d|@|＠|%40|\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b|[\[({ ]at[\])} ]", re.I)
 _SIGNS = r"[\"'`*#()\[\]{}<>«»„“”…_~=+@$%^&\\]*"
 TOKEN = re.compile(rf"(?<!\S){_SIGNS}[^\W\d_]+(?:['’-][^\W\d_]*)*{_SIGNS}(?!\S)")
 #: A dot behind these ends no clause.
@@ -62,15 +61,6 @@ def running(text: str) -> bool:
     return longest_clause(text) >= MIN_WORDS
 
 
-def _needs_tagger(text: str, longest: int) -> bool:
-    """Whether personal information could decide if the text has a clause of four words.
-
-    Figures and addresses never count as words, so only spelled-out numbers, street names and the like can
-    stretch a clause, and only a short one.
-    """
-    return MIN_WORDS <= longest <= MIN_WORDS + 4 and PII_CUE.search(text) is not None
-
-
 def segments(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
     """``(start, end, language, confidence)`` of the segments of each text, offsets in characters."""
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
@@ -204,7 +194,8 @@ def identify(df: DataFrame, text: str, model: Model) -> DataFrame:
         for s in batches:
             texts = s.tolist()
             longest = [longest_clause(t) if t else 0 for t in texts]
-            tagged = pii.find_spans([t if t and _needs_tagger(t, n) else None for t, n in zip(texts, longest)])
+            # of every text: a span anywhere may stretch a clause, part it, or read as another language
+            tagged = pii.find_spans(texts)
             read = [_readable(t, sp) if t else "" for t, sp in zip(texts, tagged)]
             same = [t and not sp and t.isascii() for t, sp in zip(texts, tagged)]
             run = [i for i, t in enumerate(read) if (longest[i] >= MIN_WORDS if same[i] else running(t))]

@@ -69,3 +69,14 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "id long, t string, lang string")
     got = {tuple(r) for r in langid.mislabelled(langid.identify(df, "t", model), "lang", "id").collect()}
     assert got == {(2, "eng"), (3, "deu"), (7, "deu"), (7, "eng")}
+
+
+def test_personal_data_of_any_length_and_language_is_no_text(spark):
+    model = langid.fit(sample())
+    rows = [
+        (1, "El técnico copió el disco llame al five five five one two three four five six seven", "spa"),
+        (2, "Der Techniker repariert das ganze Abbild five five five zero one four two nine eight three", "deu"),
+    ]
+    df = langid.identify(spark.createDataFrame(rows, "id long, t string, lang string"), "t", model)
+    assert not any("five" in x.part for r in df.collect() for x in r.segments)
+    assert langid.mislabelled(df, "lang", "id").collect() == []
