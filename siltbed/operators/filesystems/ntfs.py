@@ -93,14 +93,34 @@ def parse_record(raw: bytes, number: int, boot: Boot) -> list[Entry]:
     return out + [Entry(number, parent, f"{name}:{label}", None, n, False, gone, created, modified, where(lcn), chance) for label, n, lcn in streams]
 
 
+def record_count(data: bytes, base: int, boot: Boot) -> int | None:
+    """Records of the table by the size of its data in record 0; None where that can't be read."""
+    at = base + boot.table
+    r = bytes(data[at : at + boot.record])
+    if len(r) < boot.record or r[:4] != b"FILE":
+        return None
+    r = fixed_up(r, boot.sector)
+    at = u16(r, 20)
+    while at + 16 <= len(r):
+        kind, length = u32(r, at), u32(r, at + 4)
+        if kind == 0xFFFFFFFF or length < 16 or at + length > len(r):
+            return None
+        if kind == 0x80 and r[at + 8] and length >= 56:
+            return u64(r, at + 48) // boot.record
+        at += length
+    return None
+
+
 def entries(data: bytes, base: int = 0, first: int = 0, count: int = MAX_RECORDS) -> Iterator[Entry]:
-    """Entries of ``count`` records from ``first`` on; the table is taken as contiguous."""
+    """Entries of ``count`` records from ``first`` on; the table is taken as contiguous.
+
+    Void records are passed over: the table ends with the records that record 0 counts, or with the data.
+    """
     boot = Boot(bytes(data[base : base + 512]))
-    for k in range(first, first + count):
+    known = record_count(data, base, boot)
+    for k in range(first, first + count if known is None else min(first + count, known)):
         at = base + boot.table + k * boot.record
         raw = bytes(data[at : at + boot.record])
-        if len(raw) < boot.record or raw[:4] not in (b"FILE", b"BAAD"):
-            if len(raw) < boot.record or not any(raw):
-                return
-            continue
+        if len(raw) < boot.record:
+            return
         yield from parse_record(raw, k, boot)

@@ -142,6 +142,20 @@ def test_ntfs_and_listing(spark, tmp_path):
     assert list(ntfs.runs(bytes([0x21, 4, 16, 0, 0x01, 2, 0x11, 3, 0xFE, 0]))) == [(16, 4), (None, 2), (14, 3)]
 
 
+def test_ntfs_goes_on_behind_void_records(spark, tmp_path):
+    files = [record(f"f{k}", 5, size=9) for k in range(6)]
+    gaps = files[:2] + [bytes(1024)] + files[2:4] + [b"BAAD" + bytes(1020), bytes(1024)] + files[4:]
+    assert [(e.entry_id, e.name) for e in ntfs.entries(ntfs_volume(gaps))] == [(0, "f0"), (1, "f1"), (3, "f2"), (4, "f3"), (7, "f4"), (8, "f5")]
+    assert [e.name for e in ntfs.entries(ntfs_volume(gaps), 0, 2, 3)] == ["f2", "f3"]
+    # record 0 says that the table has five records
+    table = [record("$MFT", 5, size=5 * 1024 + 7, lcn=4)] + gaps[1:]
+    assert [e.name for e in ntfs.entries(ntfs_volume(table))] == ["$MFT", "f1", "f2", "f3"]
+    (tmp_path / "gaps.img").write_bytes(ntfs_volume(gaps))
+    volumes = spark.createDataFrame([(1, str(tmp_path / "gaps.img"), 0, "NTFS")], "image_id long, path string, part_offset long, fs string")
+    found = listing.list_entries(volumes, ntfs_records=100)
+    assert {r.name for r in found.collect()} == {f"f{k}" for k in range(6)}
+
+
 def ext4_volume():
     img = bytearray(1024 * 64)
     struct.pack_into("<I", img, 1024, 32)
