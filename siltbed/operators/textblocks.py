@@ -1,7 +1,7 @@
 """Text blocks: segmentation of bytes, gates, classification of content, previews, duplicates.
 
 Defined results: null content has no kind; empty content is generic; classification looks at the first
-1024 bytes; equal contents keep the block with the lowest offset.
+1024 bytes; equal contents keep the block with the lowest offset; blocks go on over the borders of chunks.
 """
 
 from __future__ import annotations
@@ -22,6 +22,11 @@ EXTENSIONS = {"Php": "php", "Script": "sh", "Markup": "html", "Json": "json", "Y
 _TEXT = rb"[\t\n\r\x20-\x7e\x80-\xbf\xc2-\xf4]"
 _OTHER = rb"[^\t\n\r\x20-\x7e\x80-\xbf\xc2-\xf4]"
 _BLOCK = re.compile(_TEXT + rb"{3,}(?:" + _OTHER + rb"{1,8}" + _TEXT + rb"+)*(?:" + _OTHER + rb"{1,8}\Z)?")
+_STRETCH = re.compile(_TEXT + rb"+(?:" + _OTHER + rb"{1,8}" + _TEXT + rb"+)*")
+_ONE = re.compile(_TEXT)
+_THREE = re.compile(_TEXT + rb"{3}")
+_SOME = re.compile(_TEXT + rb"*")
+_END = re.compile(_TEXT + rb"*\Z")
 _PRINTABLE = bytes(range(0x20, 0x7F)) + b"\t\n\r"
 
 
@@ -92,21 +97,135 @@ def segment_bytes(data: bytes) -> Iterator[tuple[int, bytes]]:
             yield start, data[start : min(start + MAX_BLOCK, m.end())]
 
 
+def _outline(data: bytes) -> tuple:
+    """What the state behind a chunk depends on: ``n, lead, tail, single, first, opens, last``.
+
+    Other bytes at both ends, whether one stretch of text with short gaps is all, length of a text run at the
+    begin, the place where a block opens in the last stretch, and the text bytes (two at most) at the end.
+    """
+    n, spans = len(data), [m.span() for m in _STRETCH.finditer(data)]
+    if not spans:
+        return n, n, n, False, 0, None, b""
+    a, b = spans[-1]
+    opens = _THREE.search(data, a, b)
+    return n, spans[0][0], n - b, len(spans) == 1, _SOME.match(data).end(), opens.start() if opens else None, _END.search(data[-2:]).group()
+
+
+def _follow(rows: list[dict]) -> Iterator[tuple]:
+    """``base_offset, run, gap, prefix, keep, more`` of the chunks of an image, from their outlines in order.
+
+    ``run`` is the start of the block that is open before the chunk, with ``gap`` other bytes at its end; ``prefix`` the
+    text bytes before the chunk while none is open. ``keep``: other bytes at the end belong to the block; ``more``: another chunk follows.
+    """
+    joined = [k + 1 < len(rows) and rows[k + 1]["base_offset"] == r["base_offset"] + r["n"] for k, r in enumerate(rows)]
+    others = [0] * len(rows)  # between the end of a chunk and the next text, or the end of the image
+    for k in range(len(rows) - 2, -1, -1):
+        x = rows[k + 1]
+        others[k] = 0 if not joined[k] else x["lead"] if x["lead"] < x["n"] else x["n"] + others[k + 1]
+    run, gap, prefix = None, 0, b""
+    for k, r in enumerate(rows):
+        if k and not joined[k - 1]:
+            run, gap, prefix = None, 0, b""
+        base, before, silent = r["base_offset"], (run, gap, prefix), r["lead"] == r["n"]
+        on = run is not None and gap + r["lead"] <= GAP
+        ahead = len(prefix) if not r["lead"] else 0
+        if silent:
+            run, gap, prefix = (run, gap + r["n"], b"") if on else (None, 0, b"")
+        elif r["tail"] > GAP:
+            run, gap, prefix = None, 0, b""
+        elif r["single"] and on:
+            gap, prefix = r["tail"], b""
+        elif r["single"] and ahead and ahead + r["first"] >= 3:
+            run, gap, prefix = base - ahead, r["tail"], b""
+        elif r["opens"] is not None:
+            run, gap, prefix = base + r["opens"], r["tail"], b""
+        else:
+            run, gap, prefix = None, 0, (prefix if r["first"] == r["n"] else b"") + r["last"]
+        rest = gap if run is not None else r["tail"]
+        yield base, *before, rest + others[k] <= GAP, joined[k]
+
+
+def _pieces(data: bytes, base: int, run: int | None, gap: int, prefix: bytes, keep: bool, more: bool) -> Iterator[tuple[int, int, bytes, bool]]:
+    """``block start, offset, bytes, whole`` of the parts of blocks in a chunk."""
+    virtual = prefix if run is None else b"aaa" + b"\0" * gap
+    text, shift = virtual + data, base - len(virtual)
+    for m in _BLOCK.finditer(text):
+        a, b = m.span()
+        at_end = b == len(text)
+        if at_end and not keep:
+            while b > a and not _ONE.match(text, b - 1):
+                b -= 1
+        begin = shift + a
+        if run is not None and a == 0:
+            begin, a = run, len(virtual)
+        at = shift + a
+        while a < b:
+            block = begin + (at - begin) // MAX_BLOCK * MAX_BLOCK
+            size = min(b - a, block + MAX_BLOCK - at)
+            full = at + size == block + MAX_BLOCK
+            yield block, at, text[a : a + size], at == block and (full or not (at_end and keep and more))
+            a, at = a + size, at + size
+
+
+def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values())], names=list(kinds))
+
+
+_OUTLINE = {"image_id": pa.int64(), "base_offset": pa.int64(), "n": pa.int64(), "lead": pa.int64(), "tail": pa.int64(), "single": pa.bool_(), "first": pa.int64(), "opens": pa.int64(), "last": pa.binary()}
+_STATE = {"image_id": pa.int64(), "base_offset": pa.int64(), "run": pa.int64(), "gap": pa.int64(), "prefix": pa.binary(), "keep": pa.bool_(), "more": pa.bool_()}
+_PIECE = {"image_id": pa.int64(), "block": pa.int64(), "at": pa.int64(), "bytes": pa.binary(), "whole": pa.bool_()}
+_RESULT = {"image_id": pa.int64(), "byte_offset": pa.int64(), "length": pa.int64(), "quality": pa.int32(), "content": pa.string()}
+
+
+def _ddl(kinds: dict) -> str:
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.bool_(): "boolean", pa.binary(): "binary", pa.string(): "string"}
+    return ", ".join(f"{k} {names[t]}" for k, t in kinds.items())
+
+
+def _gated(block: bytes) -> tuple[int, int, str] | None:
+    """``length, quality, content`` of a block that passes the gates."""
+    good = len(block) - len(block.translate(None, _PRINTABLE))
+    if len(block) < MIN_BLOCK or good * 100 // len(block) < MIN_QUALITY:
+        return None
+    return len(block), good * 100 // len(block), block.decode("utf-8", "replace")
+
+
 def carve(chunks: DataFrame) -> DataFrame:
-    """Blocks of ``image_id, base_offset, content`` chunks that pass the gates.
+    """Blocks of ``image_id, base_offset, content`` chunks that pass the gates, as if each image were read in one piece.
 
-    ``image_id, byte_offset, length, quality, content``; each chunk is read on its own.
+    ``image_id, byte_offset, length, quality, content``. Only the first ``report`` bytes of a chunk count where it has that
+    column. Chunks are read twice: for an outline of each, then for the blocks. One small row per chunk is
+    broadcast; of the bytes, blocks that pass the gates and parts of blocks that cross a border are shuffled.
     """
+    size = F.col("report") if "report" in chunks.columns else F.octet_length("content")
+    chunks = chunks.select("image_id", "base_offset", F.substring("content", F.lit(1), size).alias("content")).where("octet_length(content) > 0")
+
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([(i, o, *_outline(d)) for i, o, d in zip(*(b[c].to_pylist() for c in ("image_id", "base_offset", "content")))], _OUTLINE)
+
+    def follow(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["base_offset"])
+        return pa.Table.from_batches([_batch([(rows[0]["image_id"], *x) for x in _follow(rows)], _STATE)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for image, base, data, *state in zip(*(b[c].to_pylist() for c in ("image_id", "base_offset", "content", "run", "gap", "prefix", "keep", "more"))):
+                parts = _pieces(data, base, *state)
+                yield _batch([(image, *x) for x in parts if not x[3] or _gated(x[2])], _PIECE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for image, base, data in zip(b["image_id"].to_pylist(), b["base_offset"].to_pylist(), b["content"].to_pylist()):
-                for at, block in segment_bytes(data or b""):
-                    good = len(block) - len(block.translate(None, _PRINTABLE))
-                    if len(block) >= MIN_BLOCK and good * 100 // len(block) >= MIN_QUALITY:
-                        rows.append((image, base + at, len(block), good * 100 // len(block), block.decode("utf-8", "replace")))
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["image_id", "byte_offset", "length", "quality", "content"])
-
-    return chunks.select("image_id", "base_offset", "content").mapInArrow(run, "image_id bigint, byte_offset bigint, length bigint, quality int, content string")
+            for image, at, parts in zip(b["image_id"].to_pylist(), b["block"].to_pylist(), b["parts"].to_pylist()):
+                found = _gated(b"".join(parts))
+                if found:
+                    rows.append((image, at, *found))
+            yield _batch(rows, _RESULT)
+
+    states = chunks.mapInArrow(outlines, _ddl(_OUTLINE)).groupBy("image_id").applyInArrow(follow, _ddl(_STATE))
+    pieces = chunks.join(F.broadcast(states), ["image_id", "base_offset"]).mapInArrow(cut, _ddl(_PIECE))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("at", "bytes"))), lambda x: x["bytes"])
+    blocks = pieces.groupBy("image_id", "block").agg(parts.alias("parts"))
+    return blocks.mapInArrow(judge, _ddl(_RESULT))

@@ -89,6 +89,37 @@ def test_carve_text_blocks(spark):
     assert [(r.image_id, r.byte_offset, r.length, r.quality) for r in X.carve(df).collect()] == [(1, 1020, 300, 100)]
 
 
+def test_carve_text_blocks_over_borders(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    data = b"".join(rng.choice([b"text ", b"\0", b"\xc3\xa9"]) * rng.choice([1, 2, 4, 8, 9, 10, 60, 150]) for _ in range(150))
+    data = b"A" * 5000 + bytes(9) + data + b"B" * 999 + bytes(4)
+    want = []
+    for at, block in X.segment_bytes(data):
+        good = sum(b in b"\t\n\r" or 32 <= b < 127 for b in block) * 100 // len(block)
+        if len(block) >= X.MIN_BLOCK and good >= X.MIN_QUALITY:
+            want.append((at, len(block), good, block.decode("utf-8", "replace")))
+    assert len(want) > 3
+    path = tmp_path / "text.img"
+    path.write_bytes(data)
+    rows = lambda df: sorted((r.byte_offset, r.length, r.quality, r.content) for r in df.collect())
+    # overlapping chunks with a report bound
+    assert rows(X.carve(C.image_chunks(spark, [(7, str(path))], chunk=2000))) == want
+    plain = [(7, k, data[k : k + 300]) for k in range(0, len(data), 300)]
+    assert rows(X.carve(spark.createDataFrame(plain, "image_id long, base_offset long, content binary"))) == want
+    # in small cuts, down to blocks of a few bytes
+    monkeypatch.setattr(X, "MAX_BLOCK", 40)
+    for _ in range(300):
+        part = b"".join(rng.choice([b"x", b"\0"]) * rng.choice([1, 2, 3, 5, 8, 9, 20]) for _ in range(rng.randint(1, 12)))
+        cuts = sorted({0, len(part), *(rng.randint(0, len(part)) for _ in range(6))})
+        names = ["base_offset", "n", "lead", "tail", "single", "first", "opens", "last"]
+        outlines = [dict(zip(names, (a, *X._outline(part[a:b])))) for a, b in zip(cuts, cuts[1:])]
+        got: dict = {}
+        for (a, *state), b in zip(X._follow(outlines), cuts[1:]):
+            for block, at, content, _ in X._pieces(part[a:b], a, *state):
+                got.setdefault(block, []).append((at, content))
+        assert [(k, b"".join(x for _, x in sorted(v))) for k, v in sorted(got.items())] == list(X.segment_bytes(part))
+
+
 def test_preview(spark):
     assert spark.createDataFrame([("hello\r\nworld",)], "t string").select(X.preview(F.col("t")).alias("p")).first().p == "hello↵↵world"
 
