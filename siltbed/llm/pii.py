@@ -26,6 +26,18 @@ from siltbed.llm import tagger as M
 WINDOW, OVERLAP, BATCH = 128, 48, 256
 MODEL = os.path.join(os.path.dirname(__file__), "models", "pii_tagger.npz")
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+#: Numbers in groups like those of a card, and lengths with first digits that card issuers have.
+CARD_FORM = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|3\d{3}([ -])\d{6}\2\d{4,5}")
+CARD_NUMBER = re.compile(r"\d{16}|4\d{12}|3[0689]\d{12}|3[47]\d{13}|[46]\d{16,18}|5[0678]\d{11,17}")
+SSN_FORM = re.compile(r"\d{3}([ .-])\d{2}\1\d{4}")
+VERSION = re.compile(r"v?\d{1,3}(\.\d+){2,}", re.I)
+#: Words in front of an id that tell its kind; ``other`` kinds have no public checksum.
+ID_WORD = re.compile(
+    r"(?P<other>\b(?:id|identity)[ -]?cards?|carte d.identité|passport|passeport|reisepass|pasaporte|licen[cs]e|permis|führerschein|national (?:id|insurance)|ausweis|account|konto|cuenta|compte|\bNIR\b)"
+    r"|(?P<card>\bcard|karte|tarjeta|\bcarte|\bvisa\b|mastercard|amex)|(?P<ssn>\bssn\b|social security)|(?P<dni>\b(?:dni|nie)\b)|(?P<iban>\biban\b)",
+    re.I,
+)
+BEFORE = 32
 FILE_NAME = re.compile(r"@[\w.-]*\.(png|jpe?g|gif|svg|webp|css|js|git|img|bin|dat)$", re.I)
 
 
@@ -71,20 +83,24 @@ def _mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
-def holds(kind: str, value: str) -> bool:
-    """Whether a span keeps to the number rules of its kind."""
+def holds(kind: str, value: str, before: str = "") -> bool:
+    """Whether a span keeps to the number rules of its kind; ``before`` is the text in front of it.
+
+    A rule rejects an id only where its form or the last id word before it tells that the rule is its own.
+    """
     digits = re.sub(r"\D", "", value)
     if kind == "ID_NUMBER":
         bare = re.sub(r"[\s.-]", "", value).upper()
-        if re.fullmatch(r"\d{13,19}", bare):
+        named = [m.lastgroup for m in ID_WORD.finditer(before)][-1:]
+        if re.fullmatch(r"\d{13,19}", bare) and (CARD_FORM.fullmatch(value) or named == ["card"] or (CARD_NUMBER.fullmatch(bare) and named != ["other"])):
             return _luhn(bare)
-        if re.fullmatch(r"\d{9}", bare):
+        if re.fullmatch(r"\d{9}", bare) and (SSN_FORM.fullmatch(value) or named != ["other"]):
             return bare[:3] not in ("000", "666") and bare[3:5] != "00" and bare[5:] != "0000"
         if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{10,30}", bare):
             return _mod97(bare)
-        if re.fullmatch(r"\d{8}[A-Z]", bare):
+        if re.fullmatch(r"\d{8}[A-Z]", bare) and named != ["other"]:
             return DNI_LETTERS[int(bare[:8]) % 23] == bare[8]
-        return " " not in value and len(digits) >= 5 and len(bare) <= 16 and not bare.isdigit()
+        return len(digits) >= 5 and (named == ["other"] or not VERSION.fullmatch(value))
     if kind == "EMAIL":
         return not FILE_NAME.search(value) and len(value) > 5
     if kind == "PHONE":
@@ -115,7 +131,7 @@ def find_spans(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
                     value = text[k:end]
                     a, b = k + len(value) - len(value.lstrip()), k + len(value.rstrip(" .,;:↵"))
                     kind = M.TYPES[tags[k] // 2]
-                    if b > a and holds(kind, text[a:b]):
+                    if b > a and holds(kind, text[a:b], text[max(0, a - BEFORE) : a]):
                         spans.append((a, b, kind))
                     k = end
                 else:

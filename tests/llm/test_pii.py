@@ -49,6 +49,17 @@ def test_number_rules():
     assert not pii.holds("EMAIL", "tile@2x.png")
 
 
+def test_ids_without_a_public_rule_stand():
+    for value in ("12345678", "12345", "12345678901", "185057800608436", "AB 12 34 56 C", "AB-12-34-56-C", "X1234567"):
+        assert pii.holds("ID_NUMBER", value), value
+    assert pii.holds("ID_NUMBER", "123450000", "passport no. ") and not pii.holds("ID_NUMBER", "123450000", "passport? no, SSN ")
+    assert pii.holds("ID_NUMBER", "1234567890123456", "account number ") and not pii.holds("ID_NUMBER", "1234567890123456")
+    assert not pii.holds("ID_NUMBER", "123456789012345", "paid by card ") and not pii.holds("ID_NUMBER", "371449635398432")
+    assert not pii.holds("ID_NUMBER", "10.15.7.22") and not pii.holds("ID_NUMBER", "1234")
+    text = "national id 12345678901 of the holder"
+    assert [(text[a:b], k) for a, b, k in pii.find_spans([text])[0]] == [("12345678901", "ID_NUMBER")]
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "mail to bob@test.example now", "c"), (2, None, "c"), (3, "", "c"), (4, "nothing here", "c")], "id long, t string, masked string")
     got = {r.id: (r.pii.masked, list(r.pii.types)) for r in pii.find_pii(df, "t").collect()}
