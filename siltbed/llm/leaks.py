@@ -56,17 +56,18 @@ def words(text: str | None) -> list[str]:
 
 
 class Items:
-    """Test items with the places of their seeds."""
+    """Test items with the places of their seeds, by row: an ``item_id`` may have several texts."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.words = {i: words(t) for i, t in rows}
+        self.ids = [i for i, _ in rows]
+        self.words = {k: words(t) for k, (_, t) in enumerate(rows)}
         self.seeds: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, w in self.words.items():
             for k in range(len(w) - SEED + 1):
                 self.seeds[tuple(w[k : k + SEED])].append((i, k))
 
     def candidates(self, doc: list[str]) -> list[int]:
-        """Items that share at least :data:`MIN_SEEDS` seeds."""
+        """Rows of items that share at least :data:`MIN_SEEDS` seeds."""
         hits: Counter[int] = Counter()
         seen = set()
         for k in range(len(doc) - SEED + 1):
@@ -149,7 +150,7 @@ def _leaks_broadcast(docs: DataFrame, items: Items) -> DataFrame:
                 doc, rows = words(text), []
                 for i in known.candidates(doc):
                     if n := compare(doc, known.words[i]):
-                        rows.append((i, n, round(n / len(known.words[i]), 4)))
+                        rows.append((known.ids[i], n, round(n / len(known.words[i]), 4)))
                 out.append(rows)
             yield pd.Series(out)
 

@@ -63,3 +63,14 @@ def test_rows_and_both_joins(spark):
     small = {tuple(r) for r in leaks.find_leaks(d, i).collect()}
     assert small and small == {tuple(r) for r in leaks.find_leaks(d, i, broadcast_seeds=0).collect()}
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
+
+
+def test_several_texts_under_one_item(spark):
+    a = "the clerk weighs twelve rusted spools because one hollow ledger turns amber"
+    b = "each north depot rewinds its early magnet ribbon before remote carton header arrives"
+    d = spark.createDataFrame([(1, f"so {a} now"), (2, f"so {b} now")], "doc_id long, text string")
+    for texts in ((a, b), (b, a)):
+        i = spark.createDataFrame([(7, t) for t in texts], "item_id long, text string")
+        small = {tuple(r) for r in leaks.find_leaks(d, i).collect()}
+        assert {r[:2] for r in small} == {(1, 7), (2, 7)}
+        assert small == {tuple(r) for r in leaks.find_leaks(d, i, broadcast_seeds=0).collect()}
