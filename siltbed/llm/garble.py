@@ -25,9 +25,7 @@ from pyspark.sql import types as T
 # Encodings a text may have been read in, and those it may have been written in.
 READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "cp866"]
 WRITTEN_IN = ["utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "cp850", "cp437", "mac_roman", "cp932", "gbk"]
-#: Nested layers that are undone at most; a text misread more often is still found, at its outer layers.
-MAX_LAYERS = 4
-#: A step must lower the cost by this much, and by this share of it.
+#: A step must lower the cost by this much, and by this share of it; so nested layers come to an end.
 MIN_DROP, MIN_SHARE = 1.0, 0.3
 CACHE_WORDS = 200_000
 
@@ -212,7 +210,7 @@ def repair_word(word: str, at_end: bool = False) -> tuple[str, int, str]:
     if TREE_LINES.issuperset(word) and ("─" in word or word == "│"):
         return word, 0, ""
     layers, pair = 0, ""
-    while layers < MAX_LAYERS and word and (found := _step(word, at_end)):
+    while word and (found := _step(word, at_end)):
         pair = pair or f"{found[0]}>{found[1]}"
         word, layers = found[2], layers + 1
     return word, layers, pair

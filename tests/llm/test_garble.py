@@ -26,6 +26,14 @@ def test_nested_layers():
     assert (fixed, layers) == ("la sesión dañó", 2)
 
 
+@pytest.mark.parametrize("n", [5, 6, 7])
+def test_many_layers(n):
+    text = "la sesión dañó"
+    for _ in range(n):
+        text = misread(text, "cp1252", "utf-8")
+    assert garble.repair(text)[:2] == ("la sesión dañó", n)
+
+
 @pytest.mark.parametrize("text", [*CLEAN, "NÃO APAGAR", "25 °C", "½ Seite 10 µm", "├── a↵│   └── b", "写真 予算", "Σχέδιο", "a＠b.example", "Þingvellir", "plain", "", "¿qué?", "L’INDEX À VÉRIFIER"])
 def test_clean_text_stays(text):
     assert garble.repair(text)[:2] == (text, 0)
