@@ -104,24 +104,31 @@ def segments(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, f
         path[:, -1] = best.argmin(1)
         for k in range(n - 1, 0, -1):
             path[:, k - 1] = back[np.arange(len(rows)), k, path[:, k]]
+        # one language throughout, as most texts have
+        whole = c.sum(1)
+        sure = 1 / np.exp2(-np.minimum(60, whole - whole.min(1, keepdims=True))).sum(1)
+        plain = (path == path[:, :1]).all(1) if n >= SEGMENT_WORDS else np.zeros(len(path), bool)
         for j, (i, _) in enumerate(group):
+            w = words[i]
+            if plain[j] and sum(y - x for x, y in w) >= SEGMENT_LETTERS:
+                out[i].append((w[0][0], w[-1][1], model.langs[path[j, 0]], round(float(sure[j]), 4)))
+                continue
             k = 0
             while k < n:
                 end = k
                 while end < n and path[j, end] == path[j, k]:
                     end += 1
-                a, b = words[i][k][0], words[i][end - 1][1]
-                letters = sum(y - x for x, y in words[i][k:end])
+                a, b = w[k][0], w[end - 1][1]
+                letters = sum(y - x for x, y in w[k:end])
                 if end - k >= SEGMENT_WORDS and letters >= SEGMENT_LETTERS:
                     s = c[j, k:end].sum(0)
-                    sure = 1 / np.exp2(-np.minimum(60, s - s.min())).sum()
-                    out[i].append((a, b, model.langs[path[j, k]], round(float(sure), 4)))
+                    certain = 1 / np.exp2(-np.minimum(60, s - s.min())).sum()
+                    out[i].append((a, b, model.langs[path[j, k]], round(float(certain), 4)))
                 k = end
             if not out[i]:  # no run is long enough: one language for the whole text
-                s = c[j].sum(0)
-                sure = 1 / np.exp2(-np.minimum(60, s - s.min())).sum()
-                out[i].append((words[i][0][0], words[i][-1][1], model.langs[int(s.argmin())], round(float(sure), 4)))
-    return [_merged(x) for x in out]
+                out[i].append((w[0][0], w[-1][1], model.langs[int(whole[j].argmin())], round(float(sure[j]), 4)))
+            out[i] = _merged(out[i])
+    return out
 
 
 def _merged(parts: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:

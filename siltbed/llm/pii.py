@@ -44,7 +44,7 @@ FILE_NAME = re.compile(r"@[\w.-]*\.(png|jpe?g|gif|svg|webp|css|js|git|img|bin|da
 @lru_cache(maxsize=1)
 def model() -> dict[str, np.ndarray]:
     with np.load(MODEL) as z:
-        return {k: z[k].astype(np.float32) for k in z.files}
+        return M.decoder({k: z[k].astype(np.float32) for k in z.files})
 
 
 def _scores(p: dict, texts: list[list[int]]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -120,7 +120,10 @@ def find_spans(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     distinct = list(where)
     p = model()
     for rows, em in _scores(p, [M.encode(t) for t in distinct]):
-        for r, tags in zip(rows, M.viterbi(p, em)):
+        open_ = np.flatnonzero(~M.plainly_outside(p, em))
+        if not len(open_):
+            continue
+        for r, tags in zip([rows[k] for k in open_], M.viterbi(p, em[open_])):
             text, spans, k = distinct[r], [], 0
             tags = tags[: len(text)].tolist()
             while k < len(tags):

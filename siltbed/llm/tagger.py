@@ -92,9 +92,37 @@ def _lstm(p: dict, ids: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
     return out, (emb, pre, hs, cs)
 
 
+def decoder(p: dict) -> dict[str, np.ndarray]:
+    """``p`` with weights laid out for :func:`emissions`: one block per gate and direction.
+
+    The input part of a gate is a row per character, and a sigmoid is a tanh of half its argument.
+    """
+    half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
+    by_gate = lambda x: x.reshape(-1, 4, HIDDEN).transpose(1, 0, 2) * half
+    inputs = np.stack([by_gate(p["E"] @ p["Wx"][d] + p["b"][d]) for d in (0, 1)])
+    return p | {"inputs": np.ascontiguousarray(inputs, np.float32), "gates": np.ascontiguousarray([by_gate(p["Wh"][d]) for d in (0, 1)], np.float32)}
+
+
 def emissions(p: dict, ids: np.ndarray) -> np.ndarray:
-    """Scores (B, T, tags) of padded windows."""
-    return _lstm(p, ids, False)[0] @ p["Wo"] + p["bo"]
+    """Scores (B, T, tags) of padded windows, from weights of :func:`decoder`."""
+    n, t = ids.shape
+    g, x = np.empty((2, 4, n, HIDDEN), np.float32), np.empty((2, 4, n, HIDDEN), np.float32)
+    c, part = np.zeros((2, n, HIDDEN), np.float32), np.empty((2, n, HIDDEN), np.float32)
+    hs = np.zeros((t + 1, 2, n, HIDDEN), np.float32)
+    columns = np.ascontiguousarray(ids.T)
+    for k in range(t):
+        np.matmul(hs[k][:, None], p["gates"], out=g)
+        np.take(p["inputs"][0], columns[k], axis=1, out=x[0], mode="clip")
+        np.take(p["inputs"][1], columns[t - 1 - k], axis=1, out=x[1], mode="clip")
+        g += x
+        np.tanh(g, out=g)
+        g[:, :3] += 1
+        g[:, :3] *= 0.5
+        c *= g[:, 1]
+        c += np.multiply(g[:, 0], g[:, 3], out=part)
+        np.multiply(g[:, 2], np.tanh(c, out=part), out=hs[k + 1])
+    both = np.concatenate([hs[1:, 0], hs[:0:-1, 1]], axis=2)
+    return np.ascontiguousarray((both @ p["Wo"] + p["bo"]).transpose(1, 0, 2))
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -162,6 +190,28 @@ def gradient(p: dict, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[st
     return loss, g
 
 
+def plainly_outside(p: dict, em: np.ndarray) -> np.ndarray:
+    """Rows whose best path is certain to have no tag, without decoding them in full.
+
+    What a stretch of tags gains over no tag is summed along the text, by the type it has got to, with
+    the greatest gain of each kind of transition. Where no stretch ends with a gain, no path with
+    tags is the best.
+    """
+    over = (p["A"] - p["A"][0, 0]).astype(np.float32)
+    types = range(1, N_TAGS, 2)
+    first, begin, switch = (p["start"] - p["start"][0])[1::2], over[0, 1::2], over[1:, 1::2].max(0)
+    on = np.array([over[[j, j + 1], j + 1].max() for j in types], np.float32)
+    out = np.array([over[[j, j + 1], 0].max() for j in types], np.float32)
+    lead = (em - em[:, :, :1]).transpose(1, 0, 2)
+    starts, goes_on = lead[:, :, 1::2], lead[:, :, 2::2] + on
+    run = starts[0] + first
+    gains = np.zeros(em.shape[0], bool)
+    for k in range(1, len(lead)):
+        gains |= (run + out >= 0).any(1)
+        run = np.maximum(starts[k] + np.maximum(begin, run.max(1)[:, None] + switch), run + goes_on[k])
+    return ~(gains | (run >= 0).any(1))
+
+
 def viterbi(p: dict, em: np.ndarray) -> np.ndarray:
     """Best tag sequences (B, T) under the CRF; a type may only go on where it began."""
     n, t, _ = em.shape
