@@ -3,10 +3,11 @@
 The words of a text get the language sequence of the smallest total code length, where a change of
 language costs some bits; runs of words under one language are the segments.
 
-The models are fitted on a bounded sample of labelled rows (:data:`SAMPLE_TEXTS` texts of
-at most :data:`SAMPLE_CHARS` characters, :data:`SAMPLE_BYTES` bytes per language). Labels are often wrong, so each half of the sample is
-labelled anew by models of the other half: a text counts only where its label is confirmed, and a
-language only where most of its texts are.
+The models are fitted on public seed texts and a bounded sample of labelled rows (:data:`SAMPLE_TEXTS`
+different texts per label and table, :data:`SAMPLE_CHARS` characters of each, :data:`SAMPLE_BYTES` bytes per
+language). Labels are often wrong, so a label beyond the seed languages counts only if held-out texts
+under it are coded at least :data:`MIN_SAVING` shorter by it than by any other language, and a clause only
+where models of the other half confirm its label.
 
 Defined results: a text without a clause of four words has no language; null and empty texts have
 none; a null or unknown label is a missing one.
@@ -15,6 +16,8 @@ none; a null or unknown label is a missing one.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +25,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from siltbed.llm import garble, pii
 from siltbed.llm.languages import iso3
-from siltbed.llm.pii_examples import FILL
 from siltbed.llm.ppm import Model
+from siltbed.llm.seed_texts import seeds
 
-SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_BYTES = 500, 500, 150_000
-#: Texts that are scored at a time while fitting.
-SCORED = 300
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_BYTES = 800, 200, 150_000
+#: Share of the bits that a label must save on its held-out texts, and the least number of texts.
+MIN_SAVING, MIN_TEXTS = 0.1, 20
+#: Rounds in which each half confirms the labels of the other, and clauses that are scored at a time.
+CONFIRMATIONS, SCORED = 2, 2000
 SWITCH_BITS = 16.0
 MIN_WORDS, SEGMENT_WORDS, SEGMENT_LETTERS = 4, 3, 12
 CLAUSE = re.compile(r"[.!?;:/|—–,↵\n\r\t]+|\s-\s")
@@ -142,40 +148,94 @@ def _merged(parts: list[tuple[int, int, str, float]]) -> list[tuple[int, int, st
 
 
 def labelled_sample(df: DataFrame, text: str, label: str) -> DataFrame:
-    """``lang, body``: about :data:`SAMPLE_TEXTS` different labelled texts per language, drawn by their hash."""
-    rows = df.select(iso3(F.col(label)).alias("lang"), F.col(text).alias("body")).where("lang IS NOT NULL AND length(body) > 0")
+    """``lang, body``: at most :data:`SAMPLE_TEXTS` different labelled texts per language, drawn by their hash, as they are read.
+
+    Twice as many are drawn by share, told apart, and cut to the limit in the order of their hash.
+    """
+    rows = df.select(iso3(F.col(label)).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("body")).where("lang IS NOT NULL AND length(body) > 0")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(SAMPLE_TEXTS)) / F.col("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_TEXTS) / F.col("n"))
     drawn = rows.join(F.broadcast(counts), "lang")  # one row per known language
-    return drawn.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", F.substring("body", 1, SAMPLE_CHARS).alias("body"))
+    drawn = drawn.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "body").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("body"), F.lit(1 << 20)), "body")
+    drawn = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_TEXTS).drop("r")
+
+    @F.pandas_udf(T.StringType())
+    def read(s: pd.Series) -> pd.Series:
+        texts = s.tolist()
+        return pd.Series([_readable(t, sp) for t, sp in zip(texts, pii.find_spans(texts))])
+
+    return drawn.repartition(df.sparkSession.sparkContext.defaultParallelism).select("lang", read.asNondeterministic()("body").alias("body"))
+
+
+def _join(texts: list[str], limit: int = SAMPLE_BYTES) -> bytes:
+    return b"     ".join(t.encode() for t in texts)[:limit]
 
 
-def _join(texts: list[str]) -> bytes:
-    return b"     ".join(t.encode() for t in texts)[:SAMPLE_BYTES]
+def code_lengths(model: Model, texts: list[str]) -> np.ndarray:
+    """Bits of each whole text under each language."""
+    raw = [t.encode() + b"     " for t in texts]
+    bits = model.costs(np.frombuffer(b"".join(raw), np.uint8))
+    return np.add.reduceat(bits.astype(np.float64), np.cumsum([0, *[len(x) for x in raw[:-1]]]), 0)
 
 
-def fit(sample: list[tuple[str, str]]) -> Model:
-    """Models from labelled texts, after texts and languages whose labels the rest contradicts are left out."""
-    rows = sorted({(lang, _readable(text, [])) for lang, text in sample})
-    rows = [r for r in rows if running(r[1])]
-    seeds = {k: [f"{s} {v} {o} {e}".lower() for s, v, o, e in zip(*[(p * 14)[:14] for p in parts])] for k, parts in FILL.items()}
+def _admitted(others: dict[str, list[str]], train: list[str], test: list[str]) -> bool:
+    """Whether held-out texts are coded clearly shorter by the rest of their label than by any other language.
+
+    All models have texts of one table and are equally long, so only the language can tell them apart:
+    texts under a wrong label are in some other language, whose model then codes them as well or
+    better, however often the label occurs.
+    """
+    size = min(SAMPLE_BYTES, len(_join(train)))
+    model = Model({k: _join(v, size) for k, v in (others | {"": train}).items() if v})
+    if len(model.langs) < 2:
+        return True
+    bits, own = code_lengths(model, test), model.langs.index("")
+    best = np.delete(bits, own, 1).min(1)
+    return float(np.median((best - bits[:, own]) / best)) >= MIN_SAVING
+
+
+def fit(sample: list[tuple[str, ...]]) -> Model:
+    """Models from ``(label, text)`` or ``(label, text, table)``, without clauses and labels the rest contradicts.
+
+    Public seed texts start the languages of :mod:`seed_texts`; any other language needs
+    :data:`MIN_TEXTS` texts of a table and must pass :func:`_admitted` on both halves of them.
+    """
+    rows = [(lang, clause.strip(), *table) for lang, text, *table in sample for clause in CLAUSE.split(ABBREVIATION.sub(r"\1", text.lower())) if len(TOKEN.findall(clause)) >= MIN_WORDS]
+    # in the order of a hash, so that no limit prefers an alphabet
+    rows = sorted(rows, key=lambda r: (zlib.crc32(r[1].encode()), r))
+    base = {k: [t.lower() for t in v] for k, v in seeds().items()}
     halves = [rows[0::2], rows[1::2]]
-    kept: list[tuple[str, str]] = []
-    for train, test in (halves, halves[::-1]):
-        texts = {k: list(v) for k, v in seeds.items()}
-        for lang, text in train:
-            texts.setdefault(lang, []).append(text)
-        model = Model({k: _join(v) for k, v in texts.items()})
-        for k in range(0, len(test), SCORED):
-            part = test[k : k + SCORED]
-            for (lang, text), found in zip(part, segments(model, [t for _, t in part])):
-                kept.append((lang, text, bool(found) and {x[2] for x in found} == {lang}))
-    texts = {k: list(v) for k, v in seeds.items()}
-    for lang in {k for k, _, _ in kept}:
-        own = [(t, ok) for k, t, ok in kept if k == lang]
-        if lang in seeds or (len(own) >= 20 and sum(ok for _, ok in own) * 2 > len(own)):
-            texts.setdefault(lang, []).extend(t for t, ok in own if ok)
-    return Model({k: _join(v) for k, v in texts.items()})
+    tables = sorted({r[2:] for r in rows})
+
+    def texts_of(half: int, lang: str, table: tuple) -> list[str]:
+        return [r[1] for r in halves[half] if r[0] == lang and r[2:] == table]
+
+    langs = list(base)
+    number = Counter((r[0], r[2:]) for r in rows if r[0] not in base)
+    for (lang, table), n in sorted(number.items(), key=lambda x: (-x[1], x[0])):
+        if n < MIN_TEXTS or lang in langs or not all(texts_of(h, lang, table) for h in (0, 1)):
+            continue
+        if all(_admitted({k: texts_of(h, k, table) for k in langs}, texts_of(h, lang, table), texts_of(1 - h, lang, table)) for h in (0, 1)):
+            langs.append(lang)
+
+    def model_of(texts: dict[tuple[str, tuple], list[str]]) -> Model:
+        share = SAMPLE_BYTES // max(1, len(tables))
+        return Model({k: b"     ".join([_join(base.get(k, [])), *[_join(texts.get((k, t), []), share) for t in tables]]) for k in langs})
+
+    kept = [{(k, t): texts_of(h, k, t) for k in langs for t in tables} for h in (0, 1)]
+    for _ in range(CONFIRMATIONS):
+        models = [model_of(kept[1 - h]) for h in (0, 1)]
+        kept = [{} for _ in (0, 1)]
+        for h in (0, 1):
+            test = [r for r in halves[h] if r[0] in langs]
+            for k in range(0, len(test), SCORED):
+                part = test[k : k + SCORED]
+                best = code_lengths(models[h], [r[1] for r in part]).argmin(1)
+                for row, j in zip(part, best):
+                    if models[h].langs[j] == row[0]:
+                        kept[h].setdefault((row[0], row[2:]), []).append(row[1])
+    return model_of({k: kept[0].get(k, []) + kept[1].get(k, []) for k in {*kept[0], *kept[1]}})
 
 
 SEGMENTS = T.ArrayType(

@@ -12,10 +12,9 @@ from siltbed.sources.tables import table
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "text_blocks", "block_id", "kind", "preview", "lang")
     blocks = blocks.where("kind IN ('Generic', 'Markdown')")
-    labelled = langid.labelled_sample(blocks, "preview", "lang").unionByName(
-        langid.labelled_sample(table(spark, sf_dir, "documents", "text", "lang"), "text", "lang")
-    )
-    model = langid.fit([(r[0], r[1]) for r in labelled.collect()])
+    sources = {"previews": (blocks, "preview"), "documents": (table(spark, sf_dir, "documents", "text", "lang"), "text")}
+    # bounded: a limited number of texts per language and table
+    model = langid.fit([(r[0], r[1], name) for name, (df, text) in sources.items() for r in langid.labelled_sample(df, text, "lang").collect()])
     return langid.identify(blocks.select("block_id", "preview", "lang").distinct(), "preview", model)
 
 

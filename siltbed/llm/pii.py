@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed.llm import tagger as M
+from siltbed.llm.seed_texts import seeds
 
 WINDOW, OVERLAP, BATCH = 128, 48, 256
 MODEL = os.path.join(os.path.dirname(__file__), "models", "pii_tagger.npz")
@@ -38,6 +39,7 @@ ID_WORD = re.compile(
     re.I,
 )
 BEFORE = 32
+PARTICLES = frozenset("al da das de degli dei del della den der des di do dos du el la le ten ter van von y zu".split())
 FILE_NAME = re.compile(r"@[\w.-]*\.(png|jpe?g|gif|svg|webp|css|js|git|img|bin|dat)$", re.I)
 
 
@@ -47,6 +49,13 @@ def model() -> dict[str, np.ndarray]:
         return M.decoder({k: z[k].astype(np.float32) for k in z.files})
 
 
+@lru_cache(maxsize=1)
+def common_words() -> frozenset[str]:
+    """Words of running text that are in no name where they stand in lower case."""
+    found = re.findall(r"[^\W\d_]+", " ".join(" ".join(v) for v in seeds().values()))
+    return frozenset(w for w in found if w.islower() and len(w) > 1) - PARTICLES
+
+
 def _scores(p: dict, texts: list[list[int]]) -> Iterator[tuple[list[int], np.ndarray]]:
     """Indices of texts and their emissions, in batches of like length; long texts from windows."""
     short = sorted((i for i, t in enumerate(texts) if 0 < len(t) <= WINDOW), key=lambda i: len(texts[i]))
@@ -107,7 +116,8 @@ def holds(kind: str, value: str, before: str = "") -> bool:
         return 7 <= len(digits) <= 15 or (not digits and len(value.split()) >= 7)
     if kind == "ADDRESS":
         return bool(digits) and any(c.isalpha() for c in value)
-    return sum(c.isalpha() for c in value) >= 4 and not digits
+    small = [w for w in re.findall(r"[^\W\d_]+", value) if w.islower()]
+    return sum(c.isalpha() for c in value) >= 4 and not digits and not (common_words() & set(small))
 
 
 def find_spans(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:

@@ -1,48 +1,66 @@
-"""Labelled texts for the tagger of personal information, drawn from a grammar; all content is invented.
+"""Labelled texts for the tagger of personal information, drawn from a grammar.
 
-Every example is a short text with spans ``(start, end, type)``. Numbers are drawn with and
-without a right checksum alike: the rules of a kind are checked after decoding.
+Every example is a short text with spans ``(start, end, type)``. Names, towns, brands and numbers
+are made from syllables and parameters, forms follow public conventions, and sentences come from
+:mod:`siltbed.llm.seed_texts`; nothing is taken from any table. Numbers are drawn with and without a
+right checksum alike: the rules of a kind are checked after decoding.
 """
 
 from __future__ import annotations
 
 import random
 
-FIRST = """Anna Peter Lucia Joren Milka Oskar Ines Nadja Leila Farid Bruno Piotr Tamsin Greta Edda Amara Noor Carla Maeve Henrik Renata
-Silvio Eszter Ruben Tomasz Pavel Sorcha Matteo Anton Yusuf Ilse Maria John James Mary Robert Linda David Susan Ahmed Fatima Chen Wei Olga
-Ivan Elena Dmitri Katarzyna Jan Marek Zofia Pierre Marie Luc Claire Hans Jürgen Ursula Björn Astrid Sven Inge João Ana Pedro Teresa José
-Carmen Diego Lola Marco Giulia Paolo Chiara Kees Femke Daan Sanne Priya Ravi Aiko Kenji Siobhán Liam Emma Noah Olivia Ethan Zara Omar
-Hannah Felix Viktor Irina Nora Lars Elif Mehmet Agnes Stefan Ulla Theo Rosa Hugo Iris Jonas Clara Milan Vera Boris Dana Erik Tilda Ugo""".split()
-SYLLABLE = """tolm kelm marb orr rusk fenz pelk thorv halv vant quell isk garv wend drax bex drass lind berg hol mark sand wal fors kran bell dor
-fal gram hart jan kos lam mor nor ost pran rad sel tur ull vid wern zel brand crest dun ell frost glen hav""".split()
-ENDING = """ova ini mund wick eley ento ardo ska oska ory aux strom enko a er son sen sky ez es man mann ley ton ell i o ic ich owski ing berg feld quist""".split()
-BRAND = """Ostrix Quandrel Tessim Dunlo Naudisk Brimtek Korvex Sabrel Ulmar Halden Velora Pyrrin Seagale Torrix Maxon Fujiko Hitaro Kingsten
-Zentrix Lumeko Vastor Orbico Nexora Calibex Drivex Polaro Samson Westgate Plextron Corvex Altair Minolux""".split()
-PRODUCT = """Vault Ridge Slate Basalt Array Tern Vane Loam Pico Drive Disk Store Server Mini Pro Max Ultra Blue Black Gold Portable Station Cloud
-Stick Card Reader Book Tower Cache Quartz Granite Falcon Heron Shale""".split()
-STREET = """Quarrel Harrow Fennick Lantern Tallow Cinder Juniper Saltbox Pinfold Millrace Weaver Osprey Maple Oak Mill Church Station Garden Linden
-Birken Schiller Goethe Park River Hill Market Castle King Queen Forge Chestnut Willow Orchard Bridge Abbey Copper Tanner Fuller""".split()
-TOWN = """Penhallow Karsholm Dunmere Brackwell Valcroix Rivamonte Torreluz Ostbrück Ashford Linton Norwick Altdorf Neuheim Montclair Villeneuve
-Santaluz Monteverde Roccaforte Oosterdam Zwartewaal Nowygród Kamień Halmstad Ravenna Lisle""".split()
-TLD = ["example", "test", "invalid", "example.org", "example.net", "example.com", "org", "com", "net", "de", "fr", "co.uk", "io", "it", "nl", "pl"]
-HOST = """mail post inbox brev casa nord tarn lab-ost box web home corp office disk data uni city shop cloud kontor bureau""".split()
-ROLE = "support office info sales admin help contact service billing noreply hr team kontakt accueil disk abuse postmaster".split()
-DIGIT_WORDS = "zero one two three four five six seven eight nine".split()
+from siltbed.llm.seed_texts import DECLARATION, PARTS, sentence
 
-# Fixed lists of running text: subjects, predicates, objects and endings of each language.
-FILL = {
-    "eng": ("The first scan|Our lab|This tool|A worn head|The night shift|The customer|Nobody here|The carver|A loose cable|The technician|The backup server|My colleague|She|It", "restored|copied|cannot read|skipped|has replaced|lost|found|damaged|rebuilt|checked|didn’t touch|marked|opened|sent", "the broken sectors|the log of the run|two old archives|most of the photos|an empty volume|the whole image|a deleted folder|the boot record|the partition table|the file names|every second block|the missing videos", "|without any warning|at sector 53321|with 21283 errors left|because the power failed|after a long pause|as the manual says|in about 3840 minutes|during the third pass|on the spare machine"),
-    "deu": ("Der Techniker|Die Sicherung|Ein loses Kabel|Unser Labor|Niemand im Büro|Der Kunde|Die alte Platte|Das Werkzeug|Die Nachtschicht|Der Lesekopf|Der zweite Durchlauf|Die Steuerung", "repariert|löscht|überspringt|findet|kopiert|prüft|zählt|öffnet|verliert|beschädigt|hält", "das ganze Abbild|die Partitionstabelle|jeden zweiten Block|zwei ältere Archive|die fehlenden Aufnahmen|den größten Teil der Bilder|einen gelöschten Ordner|die Dateinamen|den Schlüssel zum Gehäuse|das Protokoll des Laufs|die übrigen Dateien|die defekten Sektoren", "|ohne jede Warnung|bei Sektor 7364|mit 4984 übrigen Fehlern|weil der Strom ausfiel|wie im Handbuch beschrieben|in etwa 84987 Minuten|auf dem Ersatzgerät|nach einer längeren Pause|zum zweiten Mal in dieser Woche|bevor die Platte abkühlt|während der dritten Prüfung"),
-    "fra": ("Le technicien|La deuxième passe|Notre laboratoire|Cet outil|L’index du volume|Une tête usée|Un câble abîmé|Personne ici|Le client|La première analyse|Le serveur de secours|Le vieux contrôleur", "copie|ignore|a réparé|ne lit plus|vérifie|restaure|a effacé|abîme|a perdu|retrouve|a déplacé", "les secteurs défectueux|le journal de la séance|toute l’image du disque|deux vieilles archives|la plupart des photos|un dossier supprimé|la table des partitions|le secteur de démarrage|les noms des fichiers|un bloc sur deux|les vidéos manquantes", "|sans aucun avertissement|au secteur 8713|avec 1412 erreurs restantes|pendant la troisième passe|en 37785 minutes environ|comme l’indique le manuel|parce que le courant a été coupé|sur la machine prêtée|avant que le disque ne chauffe|pour la deuxième fois cette semaine|après une longue pause"),
-    "spa": ("El técnico|La segunda pasada|Nuestro laboratorio|Esta herramienta|Nadie aquí|Un cabezal gastado|El servidor de respaldo|El primer análisis|El disco viejo|Un cable suelto|El índice del volumen|El cliente", "copió|borró|no puede leer|reparó|encontró|revisa|perdió|dañó|omitió|contó|restauró", "la tabla de particiones|casi todas las fotos|una carpeta eliminada|los vídeos que faltaban|dos archivos antiguos|los nombres de los ficheros|el informe de la sesión|toda la imagen del disco|los sectores dañados|el registro de arranque|uno de cada dos bloques", "|en el sector 8027|como explica el manual|con 1776 errores aún pendientes|por segunda vez esta semana|durante la tercera lectura|después de una pausa larga|porque se cortó la luz|en unos 39080 minutos|sin ningún aviso|antes de que se enfríe el disco|en la máquina prestada"),
-    "ita": ("Il tecnico|La seconda passata|Il nostro laboratorio|Questo strumento|Nessuno qui|Una testina usurata|Un cavo allentato|L’indice del volume|La prima scansione|Il vecchio disco|Il server di riserva|Il cliente", "ha copiato|salta|non legge più|ha riparato|ha trovato|conta|danneggia|controlla|ha perso|ha cancellato|ha recuperato", "i settori difettosi|tutta l’immagine del disco|due vecchi archivi|i filmati mancanti|la tabella delle partizioni|i nomi dei documenti|il settore di avvio|un blocco su due|una cartella eliminata|il registro della sessione|quasi tutte le fotografie", "|senza alcun avviso|al settore 51952|in circa 96046 minuti|come spiega il manuale|sulla macchina di scorta|durante la terza lettura|prima che il disco si raffreddi|perché è mancata la corrente|con 68254 errori rimasti|dopo una lunga pausa|per la seconda volta questa settimana"),
-    "por": ("O técnico|A segunda leitura|O nosso laboratório|Esta ferramenta|Ninguém aqui|Um cabo solto|O disco antigo|O servidor de cópias|Uma cabeça gasta|A primeira análise|O índice do volume|O cliente", "copiou|apagou|não consegue ler|recuperou|verificou|perdeu|contou|danificou|ignorou|encontrou|reparou", "a tabela de partições|quase todas as fotografias|uma pasta excluída|dois arquivos antigos|o registo de arranque|os vídeos em falta|os nomes dos ficheiros|o relatório da sessão|os setores com falhas|toda a imagem do disco|um em cada dois blocos", "|no setor 77869|depois de uma longa pausa|em cerca de 50093 minutos|como explica o manual|durante a terceira leitura|pela segunda vez nesta semana|antes que o disco arrefeça|com 6481 erros ainda por ler|porque faltou a luz|na máquina emprestada|sem nenhum aviso"),
-    "nld": ("De technicus|De tweede ronde|Ons lab|Dit gereedschap|Niemand hier|Een losse kabel|De nachtploeg|De klant|De oude schijf|De reserveserver|Een versleten kop|De eerste scan", "herstelt|kopieert|wist|opent|vindt|controleert|beschadigt|verliest|telt|bewaart|slaat", "de kapotte sectoren|het hele beeld|de partitietabel van het volume|een verwijderde map|twee oudere archieven|de ontbrekende filmpjes|ieder tweede blok|de namen van alle bestanden|de meeste van de foto’s", "|bij sector 33807|zonder enige waarschuwing|na een lange pauze|in ongeveer 86269 minuten|omdat de stroom uitviel|tijdens de derde controle"),
-    "pol": ("Nasz technik|Drugi przebieg|Całe laboratorium|To narzędzie|Nikt tutaj nie|Luźny kabel|Nocna zmiana|Każdy klient|Stary dysk|Serwer zapasowy|Zużyta głowica|Pierwszy odczyt", "naprawia|kopiuje|usuwa|odczyta|pomija|sprawdza|zlicza|uszkadza|traci|znajduje|odzyskuje", "uszkodzone sektory|cały obraz dysku|skasowany folder|dwa starsze archiwa|co drugi blok danych|nazwy wszystkich plików|brakujące nagrania|dziennik całej sesji|tablicę partycji|większość starych zdjęć", "|bez żadnego ostrzeżenia|przy sektorze 53321|w około 10422 minut|zanim dysk ostygnie|bo zabrakło prądu|podczas trzeciej próby|po dłuższej przerwie|jak podaje instrukcja|już drugi raz w tym tygodniu|na pożyczonym sprzęcie"),
-    "rus": ("Наш техник|Второй проход|Вся лаборатория|Этот инструмент|Никто здесь|Плохой кабель", "чинит|копирует|удаляет|читает|пропускает|находит", "повреждённые секторы|весь образ диска|удалённую папку|два старых архива|почти все фотографии", "|без всякого предупреждения|на секторе 58509|после долгой паузы"),
+FIRST = """Alice Robert Emily Thomas Sarah Charles Laura George Helen Michael Jennifer William Patricia Richard Barbara Joseph Susan Daniel Karen
+Andrew Nancy Kevin Sandra Brian Ashley Edward Kimberly Ronald Donna Anthony Carol Matthias Sabine Wolfgang Heike Dieter Petra Klaus Monika Jochen Birgit
+Philippe Nathalie Julien Isabelle Thierry Sylvie Antoine Céline Javier Pilar Alejandro Rocío Miguel Beatriz Antonio Lucía Giuseppe Francesca Alessandro Valentina
+Luca Elisa Ricardo Fernanda Rui Inês Gonçalo Beatriz Willem Anneke Joost Marieke Sander Krzysztof Agnieszka Grzegorz Małgorzata Piotr Ewa Sergei Natalia Andrei Tatiana
+Hiroshi Yuki Ming Li Wei Raj Anjali Mohammed Aisha Hassan Leila Kofi Amina Søren Ingrid Håkan Maja Eero Aino Zoltán Ágnes Václav Jana Bogdan Ioana Nikos Eleni Deniz Ayşe Ciarán Niamh""".split()
+LAST = """Smith Jones Brown Taylor Walker Hughes Edwards Turner Murphy Schneider Fischer Weber Becker Hoffmann Schäfer Krüger Bernard Petit Moreau Lefèvre Girard Fernández Rodríguez López
+Martínez Romero Navarro Ferrari Bianchi Romano Ricci Marino Silva Santos Pereira Oliveira Costa Bakker Visser Smit Mulder Nowak Wiśniewski Wójcik Kamiński Petrov Sokolov Morozov Volkov Tanaka Suzuki
+Nguyen Patel Singh Khan Chen Wang Okafor Mensah Hansen Johansson Virtanen Nagy Horváth Novák Popescu Papadopoulos Yılmaz O’Connor MacLeod""".split()
+ONSET = "b br c ch d dr f fl fr g gl gr h j k kl kr l m n p pl pr qu r s sch sh sk sl st str sw t th tr v w y z".split() + [""]
+VOWEL = "a a e e i i o o u u ae ai au ea ee ei ie oo ou y ä ö ü á é".split()
+CODA = "n n l l r r m s t k d g nd nt rt rk ck ng lt ld rn sk st x ll ss".split() + [""] * 14
+NAME_END = "son sen ov ova ev eva in ina ski ska sky ak ek ik ic ich ez es is mann berg stein feld bach ini ino elli etti escu oglu ley ton ham wick worth field well er ard aux ot ens ström lund quist o a y i".split()
+TOWN_END = "ton ham bury ford field wick mouth port dale burg berg heim dorf hausen stadt brück ville court mont val luz mar dam dijk kerk wijk ów ice grad by vik stad sund ano ento ona aro".split()
+TOWN_START = ["", "", "", "", "St. ", "Bad ", "Saint-", "San ", "Santa ", "New ", "Upper ", "Nowy ", "Villa "]
+NOUN = """Alpha Array Arrow Base Bay Beam Bolt Book Bridge Canyon Card Case Cloud Core Cube Deck Delta Disk Dock Drive Dune Edge Ember Field Flash Flow Forge Frame Gate Glacier Guard Harbor Hub Kit Lake
+Link Mesa Micro Mini Mirror Nano Node Nova Orbit Panel Peak Pico Pixel Plus Pod Pulse Rack Reef Ridge Rock Server Shell Shuttle Slate Spark Station Stick Stone Storage Storm Stream Studio Summit Swift Tablet Terra Tide Titan
+Tower Track Trail Vault Vector View Wave Wing Works Zone""".split()
+NATURE = """Granite Marble Quartz Flint Onyx Opal Jade Amber Coral Pearl Topaz Garnet Shale Chalk Clay Gravel Heron Falcon Eagle Hawk Robin Raven Swan Crane Finch Wren Owl Otter Badger Lynx Bison Moose Salmon Trout Maple Cedar
+Birch Willow Aspen Fern Moss Clover Thistle Heather Lotus Cliff Brook Marsh Moor Heath Valley Island Lagoon Meadow Prairie Tundra Desert Oasis Cloud Thunder Breeze Frost Snow Rain Mist Comet Meteor Saturn Mercury Neptune
+Copper Silver Iron Cobalt Nickel Carbon Helium Photon Proton Quasar Anchor Compass Lantern Candle Hammer Anvil Needle Saddle Wagon Barrel Basket Kettle Ladder Mirror Pillar Tunnel Corner Circle Square Spiral""".split()
+THINGS = NOUN + NATURE
+PLAIN = "old new broken empty small large red blue green first second third last whole quick slow wrong right open closed full missing early late hidden local common known lost bad good wooden heavy light strange simple double single spare recent public damaged deleted important missing previous whole cold warm dry".split()
+DOING = "turn walk end start help paint need clean count fill repair open load check clear follow watch move miss add stay visit record restore copy scan delete return show test reach collect deliver answer request report".split()
+SMALL = "nothing something anything everything here there now then later soon never always again only just very too also not yes no ok done empty none some any more less well so but and or if when where why how what who all both each".split()
+WITH = "with of for near after before without under behind inside from to about during in at on by against between".split()
+NUMBERED = "SN S/N serial Serial# LBA sector offset inode block size id uid pid port crc sha1 build rev ticket case order item batch row line page key seq job node".split()
+STREET_WORD = {
+    "eng": "Main High Church Park Mill Station Victoria London Green King Queen Manor Chestnut Elm Cedar Pine Walnut Washington Lincoln Sunset Lake Hill Bridge School North South Broad Water Spring Meadow Orchard Rose Ivy Harbour Castle Abbey Baker Cooper Fisher Hunter Lark Robin Fox".split(),
+    "deu": "Haupt Bahnhof Garten Schul Dorf Berg Linden Goethe Schiller Mozart Kirch Wald Wiesen Mühlen Ring Rosen Feld Brunnen Markt Eichen Buchen Tannen Sonnen Amsel Hafen Burg Kloster".split(),
+    "fra": "Paix|Victor Hugo|Lilas|République|Moulin|Gare|Pasteur|Église|Liberté|Jean Jaurès|Écoles|Fontaine|Roses|Gambetta|Voltaire|Pont|Marché|Château|Peupliers".split("|"),
+    "spa": "Mayor|Real|Sol|Cervantes|Goya|Colón|Nueva|San José|Alcalá|del Carmen|Constitución|de la Paz|Velázquez|Olmo|del Río|Jardines|Princesa|Toledo".split("|"),
+    "ita": "Roma|Garibaldi|Mazzini|Dante|Verdi|Cavour|Marconi|Manzoni|dei Mille|della Libertà|Matteotti|Torino|San Marco|delle Rose|Galilei|Vittoria|Milano".split("|"),
+    "por": "Augusta|Flores|da Liberdade|do Comércio|Santo António|Camões|da Praia|Direita|das Oliveiras|Sete de Setembro|do Sol|Nova|da Igreja".split("|"),
+    "nld": "Kerk Dorps Molen School Juliana Beatrix Wilhelmina Station Nieuw Prinsen Keizers Haven Linden Eiken Beuken Markt".split(),
+    "pol": "Długa|Ogrodowa|Polna|Leśna|Szkolna|Lipowa|Słoneczna|Krótka|Kościelna|Mickiewicza|Sienkiewicza|Kwiatowa|Zielona|Parkowa".split("|"),
+    "rus": "Ленина|Мира|Садовая|Лесная|Школьная|Пушкина|Гагарина|Новая|Советская|Центральная|Заречная|Чехова".split("|"),
 }
-FILL = {k: [part.split("|") for part in v] for k, v in FILL.items()}
-VERB_NAME = {k: v[1] for k, v in FILL.items()}
+TLD = "com org net info eu de fr es it nl pl ru pt co.uk ac.uk io dev test example invalid local example.com example.org example.net com.br co.jp gov edu biz at ch be se".split()
+HOST = "mail post inbox web home office data city shop cloud uni net firm box core north lab print desk studio team school hotel bank clinic museum radio".split()
+ROLE = "support office info sales admin help contact service billing noreply no-reply hr team jobs press abuse postmaster webmaster privacy security kundenservice vertrieb accueil facturation ventas soporte ufficio kontakt biuro privacidade reply".split()
+DIGIT_WORDS = "zero one two three four five six seven eight nine".split()
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Words that stand before numbers, by kind, and calling codes.
+PASSPORT = ["passport", "passport no.", "Passport number", "passeport", "passeport n°", "Reisepass", "Pass-Nr.", "pasaporte", "passaporto", "paspoort", "paszport", "паспорт"]
+LICENCE = ["driver licence", "driver license", "driving licence", "licence no.", "DL", "Führerschein", "Führerscheinnr.", "permis de conduire", "permis", "carnet de conducir", "patente", "rijbewijs", "prawo jazdy"]
+NATIONAL = ["national id", "ID card", "identity card", "ID", "id no.", "Ausweis", "Ausweisnummer", "Personalausweis", "carte d’identité", "CNI", "NIR", "carta d’identità", "codice fiscale", "PESEL", "BSN", "cartão de cidadão", "NIF", "dowód"]
+ACCOUNT = ["account", "account no.", "acct", "Konto", "Kontonummer", "compte", "cuenta", "conto", "rekening", "konto"]
+CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 54 55 61 64 81 86 90 91 351 352 353 358 370 380 420 421 972".split()
+LANGS = sorted(PARTS)
 
 
 class Examples:
@@ -54,136 +72,248 @@ class Examples:
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
+    def hexa(self, n: int) -> str:
+        return "".join(self.r.choice("0123456789abcdef") for _ in range(n))
+
+    def letters(self, n: int) -> str:
+        return "".join(self.r.choice(LETTERS) for _ in range(n))
+
+    def n(self, k: int = 5) -> str:
+        return str(self.r.randint(0, 10 ** self.r.randint(1, k)))
+
+    def stem(self, parts: int) -> str:
+        r = self.r
+        return "".join(r.choice(ONSET) + r.choice(VOWEL) + r.choice(CODA) for _ in range(parts))
+
     def surname(self) -> str:
         r = self.r
-        return (r.choice(SYLLABLE) + (r.choice(SYLLABLE) if r.random() < 0.15 else "") + r.choice(ENDING)).capitalize()
+        if r.random() < 0.22:
+            return r.choice(LAST)
+        s = self.stem(r.choice([1, 1, 1, 2])) + (r.choice(NAME_END) if r.random() < 0.7 else "")
+        return (s if len(s) > 2 else s + r.choice(NAME_END) + "s").capitalize()
 
     def first(self) -> str:
         r = self.r
-        if r.random() < 0.2:
-            return (r.choice(SYLLABLE)[:3] + r.choice(["a", "o", "ina", "en", "is", "ek", "ia", "us", "e"])).capitalize()
-        return r.choice(FIRST)
+        if r.random() < 0.5:
+            return r.choice(FIRST)
+        s = self.stem(1) + r.choice(["a", "o", "ina", "en", "is", "ek", "ia", "us", "e", "y", "in", "an", "ara", "el", "ette", "win"])
+        return s.capitalize()
 
     def name(self) -> str:
         r, f, s = self.r, self.first(), self.surname()
         if r.random() < 0.06:
             s = s + "-" + self.surname()
+        elif r.random() < 0.06:
+            s = r.choice(["van ", "van der ", "de ", "von ", "di ", "da ", "dos ", "al-", "El "]) + s
         form = r.random()
         if form < 0.5:
             return f"{f} {s}"
-        if form < 0.62:
-            return f"{f} {r.choice('ABCDEFGHIJKLMNOPRSTVW')}. {s}"
-        if form < 0.74:
-            return f"{f[0]}. {s}"
+        if form < 0.6:
+            return f"{f} {r.choice(LETTERS)}. {s}"
+        if form < 0.71:
+            return f"{f[0]}. {s}" if r.random() < 0.8 else f"{f[0]}. {r.choice(LETTERS)}. {s}"
+        if form < 0.79:
+            return f"{s.upper()}, {f}" if r.random() < 0.7 else f"{s.upper()} {f}"
         if form < 0.84:
-            return f"{s.upper()}, {f}"
+            return f"{s}, {f}" + (f" {r.choice(LETTERS)}." if r.random() < 0.2 else "")
         if form < 0.87:
-            return f"{s}, {f}"
-        if form < 0.93:
+            return f"{f} {self.first()} {s}"
+        if form < 0.94:
             return f"{f} {s}".upper()
         return f"{f} {s}".lower()
 
     def email(self) -> str:
         r, f, s = self.r, self.first().lower(), self.surname().lower()
-        f = "".join(c for c in f if c.isascii()) or "kim"
-        local = r.choice([f"{f}.{s}", f"{f}_{s}", f"{f[0]}{s}", f"{s}{self.digits(2)}", f"{s}.{f[0]}", f"{f}+disk", f"{f}+{r.choice(ROLE)}", f"{f[0]}{s}{self.digits(2)}", f"{f}-{s}", r.choice(ROLE), r.choice(ROLE), f"{f}{self.digits(r.randint(1, 4))}"])
-        domain = r.choice(HOST) + (("." + r.choice(HOST)) if r.random() < 0.12 else "") + "." + r.choice(TLD)
+        ascii_ = lambda x: "".join(c for c in x if c.isascii() and c.isalpha()) or "kim"
+        f, s = ascii_(f), ascii_(s)
+        local = r.choice([f"{f}.{s}", f"{f}_{s}", f"{f[0]}{s}", f"{s}{self.digits(2)}", f"{s}.{f[0]}", f"{f}+{r.choice(NOUN).lower()}", f"{f}+{r.choice(ROLE)}", f"{f[0]}.{s}", f"{f}-{s}", f"{f}{s}", r.choice(ROLE), r.choice(ROLE), f"{f}{self.digits(r.randint(1, 4))}", f, s, f"{r.choice(ROLE)}.{r.choice(NOUN).lower()}"])
+        host = r.choice([r.choice(HOST), r.choice(HOST), ascii_(self.stem(2)), f"{r.choice(HOST)}-{r.choice(HOST)}", f"{r.choice(HOST)}.{ascii_(self.stem(1))}x"])
+        domain = host + "." + r.choice(TLD)
         form = r.random()
         if form < 0.5:
             return f"{local}@{domain}"
-        if form < 0.6:
+        if form < 0.58:
             return f"{local}@{domain}".upper()
-        if form < 0.68:
+        if form < 0.66:
             return f"<{local}@{domain}>"
-        if form < 0.76:
-            return f"mailto:{local}%40{domain}" if r.random() < 0.8 else f"mailto:{local}@{domain}"
-        if form < 0.82:
+        if form < 0.74:
+            return f"mailto:{local}{r.choice(['@', '%40', '%40'])}{domain}"
+        if form < 0.8:
             return f"{local}＠{domain}"
-        at, dot = r.choice([" at ", " [at] ", " (at) ", "[at]", "(at)", " AT ", " {at} "]), r.choice([" dot ", " (dot) ", " [dot] ", "[dot]", "."])
-        if at == " at " and dot == ".":
+        if form < 0.83:
+            return local + r.choice([" @ ", "&#64;", "@ ", " @"]) + domain
+        at = r.choice([" at ", " [at] ", " (at) ", "[at]", "(at)", " AT ", " {at} ", "{at}", "_at_", " at "])
+        dot = r.choice([" dot ", " (dot) ", " [dot] ", "[dot]", "(dot)", ".", " DOT ", "{dot}"])
+        if at.strip() in ("at", "AT") and dot == ".":
             dot = " dot "
         return local + at + domain.replace(".", dot)
 
+    def grouped(self, number: str) -> str:
+        """A number in groups of two to four digits under one separator."""
+        r, parts = self.r, []
+        sep = r.choice(["", " ", " ", "-", ".", "/"])
+        while len(number) > 4:
+            k = r.choice([2, 3, 3, 4])
+            parts.append(number[:k])
+            number = number[k:]
+        return sep.join([*parts, number])
+
     def phone(self) -> str:
         r, d = self.r, self.digits
+        code = r.choice(CALLING)
         return r.choice([
-            lambda: f"+1-{d(3)}-555-01{d(2)}", lambda: f"({d(3)}) 555-01{d(2)}", lambda: f"555-01{d(2)}", lambda: f"{d(3)}.555.01{d(2)}",
-            lambda: f"0044{d(10)}", lambda: f"+44 7700 900{d(3)}", lambda: f"07700-900{d(3)}", lambda: f"07{d(3)} {d(6)}",
-            lambda: f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"01.{d(2)}.{d(2)}.{d(2)}.{d(2)}", lambda: f"0{d(2)}/{d(8)}", lambda: f"0{d(3)}/{d(6)}",
-            lambda: f"+49 {d(2)} {d(5)} {d(3)}", lambda: f"+{d(2)} {d(3)} {d(3)} {d(3)}", lambda: f"+7 495 {d(3)}-{d(2)}-{d(2)}", lambda: f"+{d(11)}",
-            lambda: " ".join(r.choice(DIGIT_WORDS) for _ in range(r.choice([7, 7, 7, 10]))), lambda: "five five five zero one " + " ".join(r.choice(DIGIT_WORDS) for _ in range(2)),
-            lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"+34 9{d(2)} {d(3)} {d(3)}", lambda: f"+39 06 {d(8)}", lambda: f"({d(3)}) {d(3)}-{d(4)}",
+            lambda: f"+{code} {self.grouped(d(r.choice([8, 9, 9, 10])))}", lambda: f"+{code}{r.choice(['-', '.', ' '])}{self.grouped(d(9))}", lambda: f"+{code}{d(r.choice([8, 9, 10]))}", lambda: f"00{code}{r.choice(['', ' '])}{d(r.choice([8, 9, 10]))}", lambda: f"00{code}{d(10)}", lambda: f"+{code} (0) {d(2)} {d(3)} {d(4)}", lambda: f"+{code} ({d(2)}) {d(4)}-{d(4)}",
+            lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) 555-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"{d(3)} {d(3)} {d(4)}", lambda: f"555-{d(4)}", lambda: f"{d(3)}-{d(4)}", lambda: f"1-800-{d(3)}-{d(4)}", lambda: f"+1 {d(3)} {d(3)} {d(4)}", lambda: f"+1-{d(3)}-{d(3)}-{d(4)}",
+            lambda: f"0{d(2)}/{d(r.choice([6, 7, 8]))}", lambda: f"0{d(3)}/{d(r.choice([5, 6, 7]))}", lambda: f"0{d(3)} {d(6)}", lambda: f"0{d(4)} {d(6)}", lambda: f"0{d(4)}-{d(6)}", lambda: f"0{d(3)}-{d(3)} {d(3)}", lambda: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"0{d(1)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", lambda: f"07{d(3)} {d(6)}", lambda: f"07{d(3)}-{d(6)}", lambda: f"+44 7{d(3)} {d(6)}", lambda: f"+7 {d(3)} {d(3)}-{d(2)}-{d(2)}", lambda: f"8 ({d(3)}) {d(3)}-{d(2)}-{d(2)}", lambda: f"0{d(9)}",
+            lambda: " ".join(r.choice(DIGIT_WORDS) for _ in range(r.choice([7, 7, 10]))), lambda: " ".join(["five"] * 3 + [r.choice(DIGIT_WORDS) for _ in range(4)]), lambda: "-".join(r.choice(DIGIT_WORDS) for _ in range(7)), lambda: f"{d(3)}-{d(3)}-{d(4)} ext. {d(3)}",
         ])()
 
     def id_number(self) -> tuple[str, str]:
         """Leading words that are no part of the number, and the number."""
-        r, d = self.r, self.digits
-        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        r, d, a = self.r, self.digits, self.letters
+        colon = lambda words: r.choice(words) + r.choice([" ", " ", ": ", " # "])
         kind = r.random()
-        if kind < 0.25:
-            sep = r.choice("- ") if r.random() < 0.9 else "."
-            area = r.choice(["9" + d(2), d(3)])
-            lead = r.choice(["", "SSN ", "SSN: ", "social security "]) if sep != " " else r.choice(["SSN ", "SSN: ", "ssn "])
-            return lead, f"{area}{sep}{d(2)}{sep}{d(4)}"
-        if kind < 0.37:
-            return r.choice(["passport ", "passport no. ", "Passport: ", "passeport ", "Reisepass "]), r.choice(letters) + d(r.choice([7, 7, 8]))
-        if kind < 0.49:
-            return r.choice(["DNI ", "DNI ", "DNI: ", "NIE "]), d(8) + r.choice(letters)
-        if kind < 0.58:
-            return r.choice(["Ausweisnr. ", "Ausweis ", "Personalausweis "]), f"{r.choice('LMTCFGHJ')}{d(2)}{r.choice('XYZ')}{d(5)}"
-        if kind < 0.69:
-            return r.choice(["driver licence ", "driver licence ", "driving licence ", "Führerschein "]), "".join(r.choice(letters) for _ in range(3)) + d(6)
-        if kind < 0.83:
-            four = [d(4) for _ in range(4)]
-            four[0] = r.choice(["4000", "4000", "4" + d(3), "5" + d(3), "3" + d(3)])
-            return r.choice(["", "", "", "card "]), r.choice(["", " ", "-"]).join(four)
-        body = r.choice(["TEST", "WEST", "BARC", d(4), "MIDL"]) + d(r.choice([14, 14, 14, 12, 16]))
-        iban = r.choice(["GB", "GB", "GB", "DE", "FR", "NL"]) + d(2) + body
-        return r.choice(["", "", "", "IBAN "]), iban if r.random() < 0.5 else " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+        if kind < 0.22:
+            sep = r.choice("-- ") if r.random() < 0.9 else "."
+            lead = r.choice(["", "", "SSN ", "SSN: ", "social security ", "ssn "]) if sep == "-" else r.choice(["SSN ", "SSN: ", "ssn "])
+            return lead, f"{r.choice(['9' + d(2), d(3)])}{sep}{d(2)}{sep}{d(4)}"
+        if kind < 0.34:
+            return colon(PASSPORT), r.choice([a(1) + d(r.choice([7, 7, 8])), d(9), a(2) + d(7), d(2) + a(2) + d(5), "C" + a(1) + d(7)])
+        if kind < 0.45:
+            return r.choice(["DNI ", "DNI: ", "NIE ", "dni ", "NIF ", ""]), r.choice([d(8) + a(1), d(8) + "-" + a(1), r.choice("XYZ") + d(7) + a(1)])
+        if kind < 0.57:
+            return colon(NATIONAL), r.choice([r.choice("LMTCFGHJ") + d(2) + r.choice("XYZPRK") + d(5), a(2) + d(7), a(3) + d(6), d(11), d(9), d(10), f"{d(1)} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", f"{a(6)}{d(2)}{a(1)}{d(2)}{a(1)}{d(3)}{a(1)}", f"{a(2)} {d(2)} {d(2)} {d(2)} {a(1)}", d(8)])
+        if kind < 0.67:
+            return colon(LICENCE), r.choice([a(3) + d(6), a(1) + d(7), a(1) + d(8), d(8), a(2) + d(6), a(5) + d(6) + a(2), a(1) + d(3) + "-" + d(4) + "-" + d(4)])
+        if kind < 0.8:
+            first = r.choice(["4" + d(3), "4" + d(3), "5" + r.choice("12345") + d(2), "3" + r.choice("47") + d(2), "6011", d(4)])
+            sep = r.choice(["", " ", "-"])
+            number = sep.join([first, d(4), d(4), d(4)]) if r.random() < 0.9 else f"{first}{sep}{d(6)}{sep}{d(5)}"
+            return r.choice(["", "", "", "card ", "card no. ", "Visa ", "Karte "]), number
+        if kind < 0.85:
+            return colon(ACCOUNT), r.choice([d(8), d(10), d(12), f"{d(2)}-{d(2)}-{d(2)} {d(8)}", d(7)])
+        country = r.choice(["GB", "GB", "DE", "FR", "NL", "ES", "IT", "PT", "PL", "AT", "CH", "BE"])
+        iban = country + d(2) + r.choice([a(4) + d(14), a(4) + d(10), d(18), d(20), d(22), a(1) + d(22), d(4) + d(14)])
+        return r.choice(["", "", "", "IBAN ", "IBAN: "]), iban if r.random() < 0.5 else " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+
+    def town(self) -> str:
+        r = self.r
+        return r.choice(TOWN_START) + (self.stem(r.choice([1, 1, 2])) + (r.choice(TOWN_END) if r.random() < 0.8 else "")).capitalize()
+
+    def street(self, lang: str) -> str:
+        # half of the streets have made-up words
+        return self.r.choice(STREET_WORD[lang]) if self.r.random() < 0.5 or lang == "rus" else (self.stem(self.r.choice([1, 2])) + self.r.choice(["", "", "er", "en", "ow", "ick"])).capitalize()
 
     def address(self) -> str:
-        r, d, s, t = self.r, str(self.r.randint(1, 250)), self.r.choice(STREET), self.r.choice(TOWN)
-        town = f", {t}" if r.random() < 0.7 else ""
+        r, t = self.r, self.town()
+        d = str(r.randint(1, 250)) + (r.choice("abcAB") if r.random() < 0.08 else "")
+        town = f", {t}" if r.random() < 0.6 else ""
         code = self.digits(5)
+        box = f"{r.choice(['P.O. Box', 'P.O. Box', 'PO Box', 'P. O. Box', 'Postfach', 'BP', 'B.P.', 'Boîte postale', 'Apartado', 'Apartado de correos', 'Casella postale', 'Caixa postal', 'Postbus', 'skr. poczt.', 'а/я'])} {self.digits(r.randint(2, 6))}"
+        s = self.street
         out = r.choice([
-            lambda: f"{d} {s.lower()} avenue", lambda: f"{d} {s} {r.choice(['Lane', 'Road', 'Street', 'Avenue', 'Drive', 'Close', 'Ave', 'Rd', 'Blvd'])}{town}",
-            lambda: f"{d} {s} St Apt {r.randint(1, 60)}", lambda: f"{d} {s} St", lambda: f"{d}, {s} Road, {t} {self.digits(4)}",
-            lambda: f"{d} rue du {s}, {t}", lambda: f"{d} rue {s}{town}", lambda: f"{d} {r.choice(['rue de la', 'avenue du', 'boulevard'])} {s}, {code} {t}",
-            lambda: f"{s}weg {d}, {code} {t}", lambda: f"{s}weg {d}", lambda: f"{s}straße {d}{r.choice('abc ').strip()}", lambda: f"{s}str. {d}, {code} {t}", lambda: f"{s}straße {d}a",
-            lambda: f"via {s} {d}, {t}", lambda: f"calle {s} {d}, {t}", lambda: f"rua {s} {d}{town}", lambda: f"ul. {s} {d}{town}", lambda: f"{s}laan {d}, {t}", lambda: f"plaza {s} {d}",
-            lambda: f"P.O. Box {self.digits(4)}, {t}", lambda: f"P.O. Box {self.digits(r.randint(2, 5))}", lambda: f"PO Box {self.digits(3)}, {t}", lambda: f"Postfach {self.digits(4)}, {code} {t}", lambda: f"BP {self.digits(3)}, {t}",
+            lambda: f"{d} {s('eng')} {r.choice(['Road', 'Street', 'Lane', 'Avenue', 'Drive', 'Close', 'Court', 'Way', 'Place', 'Terrace', 'Boulevard', 'Crescent'])}{town}", lambda: f"{d} {s('eng')} {r.choice(['St', 'Rd', 'Ave', 'Ln', 'Dr', 'Blvd', 'St.', 'Ave.'])}{town}",
+            lambda: f"{d} {s('eng')} {r.choice(['St', 'Street', 'Ave', 'Road'])}{r.choice([' Apt ', ', Apt ', ' Unit ', ' Flat ', ', Suite ', ' #'])}{r.randint(1, 60)}", lambda: f"{d}, {s('eng')} {r.choice(['Road', 'Street'])}, {t} {r.choice([code, self.digits(4), f'{self.letters(2)}{self.digits(1)} {self.digits(1)}{self.letters(2)}'])}",
+            lambda: f"{d}{r.choice([' ', ', ', ' bis '])}{r.choice(['rue', 'avenue', 'boulevard', 'place', 'impasse', 'quai', 'chemin'])} {r.choice(['', 'de la ', 'du ', 'des ', 'de '])}{s('fra')}{r.choice([town, f', {code} {t}'])}",
+            lambda: f"{s('deu')}{r.choice(['straße', 'str.', 'weg', 'gasse', 'allee', 'platz', 'strasse', 'ring'])} {d}{r.choice(['', town, f', {code} {t}'])}", lambda: f"{r.choice(['Am', 'An der', 'Im', 'Zum'])} {s('deu')} {d}{r.choice([town, f', {code} {t}'])}",
+            lambda: f"{r.choice(['calle', 'Calle', 'avenida', 'plaza', 'paseo', 'C/', 'Avda.'])} {s('spa')}{r.choice([' ', ', '])}{d}{town}", lambda: f"{r.choice(['via', 'Via', 'viale', 'piazza', 'corso', 'vicolo'])} {s('ita')}{r.choice([' ', ', '])}{d}{town}",
+            lambda: f"{r.choice(['rua', 'Rua', 'avenida', 'travessa', 'largo'])} {s('por')}{r.choice([' ', ', '])}{d}{town}", lambda: f"{s('nld')}{r.choice(['straat', 'laan', 'weg', 'gracht', 'plein', 'kade'])} {d}{r.choice([town, f', {self.digits(4)} {self.letters(2)} {t}'])}",
+            lambda: f"{r.choice(['ul.', 'al.', 'pl.', 'ulica'])} {s('pol')} {d}{r.choice(['', '/' + str(r.randint(1, 40)), town])}", lambda: f"{r.choice(['ул.', 'улица', 'проспект', 'пер.'])} {s('rus')}{r.choice([', д. ', ', ', ' '])}{d}", lambda: f"{box}{r.choice([town, f', {code} {t}', ''])}", lambda: f"{box}{town}",
         ])()
-        return out.upper() if r.random() < 0.04 else out
+        x = r.random()
+        return out.upper() if x < 0.04 else out.lower() if x < 0.18 else out
 
-    def sentence(self, subject: str | None = None) -> str:
-        s, v, o, e = self.r.choice([FILL["eng"]] * 5 + list(FILL.values()))
+    def figure(self) -> str:
+        """A number of a machine: serial, offset, version, checksum."""
+        r, d = self.r, self.digits
+        return r.choice([
+            lambda: str(r.randint(10**4, 10**11)), lambda: str(r.randint(10**4, 10**9)), lambda: d(r.randint(4, 8)) + self.letters(1) + d(r.randint(2, 4)), lambda: self.letters(2) + self.hexa(r.randint(6, 9)), lambda: self.hexa(r.choice([6, 8, 8, 12, 16])),
+            lambda: f"{d(r.randint(1, 2))}.{d(1)}.{d(r.randint(3, 6))}", lambda: f"{d(r.randint(2, 4))}-{d(r.randint(4, 6))}-{d(2)}", lambda: f"{d(2)}.{d(2)}.{d(2)}", lambda: f"{d(2)}-{d(1)}", lambda: f"{d(4)}:{d(4)}", lambda: f"0x{self.hexa(8)}", lambda: self.letters(1) + d(r.randint(3, 6)),
+        ])()
+
+    def lang(self) -> str:
+        return "eng" if self.r.random() < 0.4 else self.r.choice(LANGS)
+
+    def product(self) -> str:
+        """Something with capitals that is no person."""
         r = self.r
-        text = f"{subject or r.choice(s)} {r.choice(v)} {r.choice(o)}"
-        end = r.choice(e) if r.random() < 0.45 else ""
-        text += (" " + end) if end else ""
-        return "".join(r.choice("0123456789") if c.isdigit() else c for c in text)
+        brand = self.stem(r.choice([1, 2, 2])).capitalize() + r.choice(["", "", "", "ix", "ex", "on", "us", "tek", "co", "um", "or", "io", "ware"])
+        code = r.choice([self.digits(3), f"{r.randint(1, 16)}T", f"{self.letters(1)}{self.digits(1)}", f"{self.letters(2)}{self.digits(3)}", f"{self.letters(1)}-{self.digits(2)}", f"{r.choice([16, 32, 64, 128])}G", f"{r.randint(1, 9)}.{r.randint(0, 9)}"])
+        x = r.random()
+        if x < 0.4:
+            return f"{brand} {r.choice(THINGS)}"
+        if x < 0.6:
+            return f"{brand} {r.choice(THINGS)} {code}"
+        if x < 0.75:
+            return f"{brand} {code}"
+        if x < 0.85:
+            return f"{r.choice(THINGS)} {r.choice(THINGS)}"
+        return f"the {brand} {r.choice(THINGS).lower()}" if x < 0.93 else f"{r.choice(['Port', 'Lake', 'Mount', 'Hotel', 'Café', 'Windows', 'Project', 'Team', 'Version', 'Room', 'Hall'])} {brand}"
+
+    def prose(self) -> str:
+        """A stretch of the declaration, or everyday words in a row."""
+        r = self.r
+        if r.random() < 0.12:  # a word or three
+            words = [r.choice([r.choice(SMALL), r.choice(SMALL), r.choice(PLAIN), r.choice(THINGS).lower(), r.choice(DOING), r.choice(DECLARATION[self.lang()].split())]) for _ in range(r.randint(1, 3))]
+            text = " ".join(words)
+            return text.capitalize() if r.random() < 0.4 else text
+        if r.random() < 0.5:
+            words = DECLARATION[self.lang()].split()
+            at = r.randrange(len(words) - 6)
+            return self.mumbled(" ".join(words[at : at + r.randint(4, 12)]))
+        if r.random() < 0.4:
+            # words of a language in no order
+            words = [w for part in PARTS[self.lang()] for x in r.sample(part, 3) for w in x.split()]
+            return self.mumbled(" ".join(r.sample(words, min(len(words), r.randint(4, 10)))))
+        thing = lambda: r.choice(THINGS).lower() + r.choice(["", "", "s"])
+        phrase = lambda: f"{r.choice(['the', 'a', 'every', 'no', 'two', 'all the', 'this', 'its', 'some', 'both', 'most of the'])} {r.choice(PLAIN) + ' ' if r.random() < 0.6 else ''}{thing()}"
+        text = f"{phrase()} {r.choice(DOING)}{r.choice(['s', 'ed', 's', ''])} {phrase()}{r.choice(['', '', f' {r.choice(WITH)} {phrase()}', f' {r.choice(WITH)} {r.choice(PLAIN)} {thing()}'])}"
+        return self.mumbled(text[0].upper() + text[1:] if r.random() < 0.8 else text)
+
+    def mumbled(self, text: str) -> str:
+        """Some words replaced by made-up ones in the same case, for no list of words is complete."""
+        r = self.r
+        if r.random() < 0.4:
+            return text
+        made = lambda w: self.stem(r.choice([1, 1, 2])) + r.choice(["", "", "en", "s", "o", "ar", "ung", "ión", "ato", "ie", "em"])
+        words = [w if r.random() < 0.7 or len(w) < 4 else (made(w).capitalize() if w[0].isupper() else made(w)) for w in text.split()]
+        return " ".join(w or "x" for w in words)
+
+    def sentence(self, subject: str | None = None) -> str:
+        text = self.prose() if subject is None and self.r.random() < 0.4 else self.mumbled(sentence(self.r, self.lang(), "\0" if subject else None)).replace("\0", subject or "")
+        if self.r.random() < 0.25:
+            text += self.r.choice([f" {self.n()}", f" at {self.n()}", f" in {self.n(2)} minutes", f" ({self.n()} bytes)", f" #{self.n()}", f" 0x{self.hexa(6)}", f" {self.n()} {self.product()}"])
+        return text
 
     def noise(self) -> str:
         """Texts without any personal information that look like some."""
-        r, d = self.r, self.digits
-        hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
-        n = lambda k=5: str(r.randint(0, 10**k))
-        if r.random() < 0.12:
-            return r.choice([f"4000{d(12)} {n()} {hexa(8)}", f"{d(16)} {n()} {hexa(8)}", f"20{d(2)}-{d(2)}-{n()} 000-45-6789 {hexa(8)}", f"20{d(2)}-{d(2)}-{n()} {d(3)}-{d(2)}-{d(4)} {hexa(8)}"])
+        r, d, hexa, n = self.r, self.digits, self.hexa, self.n
         if r.random() < 0.2:
-            k = lambda: str(r.randint(0, 99))
-            tail = r.choice([f"(fw {k()}.{k()}.{k()}.{d(1)})", f"@{k()}.{k()}.{k()}-rc{d(1)}", f"[{k()}:{k()}:{k()}.{d(1)}]", f"(v{k()}.{k()}.{k()})", f"build {k()}.{k()}.{k()}.{k()}", f"lane {k()}, bay {k()}, rack {k()}-{d(1)}", f"rev {k()}.{k()}.{k()}", f"({k()}/{k()})"])
+            # numbers of forbidden or unknown kinds among other figures
+            tail = " ".join(r.choice([n(), hexa(8), d(10), f"{r.choice(['000', '666'])}-{d(2)}-{d(4)}", d(16), f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"0x{hexa(4)}"]) for _ in range(r.randint(2, 5)))
+            return r.choice([tail, f"{self.sentence()}: {tail}", f"{r.choice(['INFO', 'WARN', 'ERR', 'DEBUG'])} {tail}"])
+        if r.random() < 0.35:
+            marked = lambda: f"{r.choice(NUMBERED)}{r.choice([' ', ' ', ': ', '=', '#'])}{self.figure()}"
+            word = lambda: r.choice(NOUN).lower()
+            quote = r.choice("'\"")
+            return r.choice([
+                lambda: f"{self.sentence()}{r.choice([', ', ': ', ' ', ' – '])}{marked()}", lambda: f"{self.sentence()}, {marked()}, {marked()}", lambda: f"{marked()} {self.sentence()}", lambda: f"{self.sentence()}, {', '.join(f'{word()} {self.figure()}' for _ in range(r.randint(1, 3)))}", lambda: "↵".join(marked() for _ in range(r.randint(2, 3))), lambda: f"---↵{word()}: {self.figure()}↵{word()}: {self.figure()}",
+                lambda: '{"' + word() + '":"' + self.figure() + '","' + word() + '":"' + r.choice([self.figure(), word()]) + '"}', lambda: f'{{"{word()}":"{word()}@{r.choice("1234")}x.png","{word()}":"{self.figure()}"}}', lambda: f"CREATE TABLE {r.choice([word(), 't', 'x'])}{d(r.randint(1, 6))} ({word()} INT, {word()} CHAR({n(2)}));", lambda: f"<?php echo {word()}({quote}{r.choice('YmdHis')}{quote}) . {quote}{self.figure()}{quote};", lambda: f"{word()}: {self.figure()}↵{word()}: {r.choice([d(2) + 's', 'true', self.figure()])}↵{word()}: {word()}-{self.figure()}.{r.choice(['img', 'bin', 'log'])}", lambda: f"├── {self.figure()}↵│   └── {self.figure()}.{r.choice(['bin', 'dat'])}",
+                lambda: f"{self.product()} {marked()}", lambda: f"{quote}{self.figure()}{quote}, {quote}{self.figure()}{quote}", lambda: f"{word()}({self.figure()}, {self.figure()});", lambda: f"<{word()} {word()}=\"{self.figure()}\">{self.figure()}</{word()}>", lambda: f"{self.sentence().upper()}, {word().upper()} {n(2)}, {word().upper()} {n(2)}, {word().upper()} {d(2)}-{d(1)}",
+            ])()
+        if r.random() < 0.3:
+            v = ".".join(str(r.randint(0, 99)) for _ in range(r.choice([3, 3, 4])))
+            tail = r.choice([f"(v{v})", f"@{v}", f"v{v}-rc{d(1)}", f"[{d(2)}:{d(2)}:{d(2)}.{d(3)}]", f"build {v}", f"rack {d(2)}, slot {d(1)}", f"rev. {v}", f"({n(2)}/{n(3)})", f"SN {self.letters(2)}{d(6)}", f"part no. {d(3)}-{d(4)}", f"block {d(8)}", f"({self.product()} {v})", f"order {d(7)}", f"{d(3)},{d(3)},{d(3)}", f"page {n(2)} of {n(3)}", f"temp {d(2)} C"])
             return f"{self.sentence()}{r.choice([' ', ' ', ': ', ', '])}{tail}"
+        word = lambda: r.choice(NOUN).lower()
         return r.choice([
-            lambda: f"{self.sentence()}, SN {d(7)}X{d(3)}", lambda: f"{self.sentence()}: LBA {d(9)}", lambda: f"{self.sentence()} #{d(7)}", lambda: f"{self.sentence()} @{d(2)}.{d(2)}.{d(2)}-rc{d(1)}",
-            lambda: f"{self.sentence()} [{d(2)}:{d(2)}:{d(2)}.{d(1)}]", lambda: f"{self.sentence()}, lane {d(2)}, bay {d(2)}, rack {d(2)}-{d(1)}", lambda: f"0x{hexa(8)} 0x{hexa(8)} +{n()}",
-            lambda: f"{d(10)} 4d 5a 90 00 03 00 00 00 {hexa(8)}", lambda: f"{n()};{n()};0;0;{n()};1.25;-3", lambda: f"/var/spool/q/{hexa(8)}/{n()}.tmp", lambda: f"C:\\tmp\\{hexa(8)}\\{n()}.dat",
-            lambda: f"├── {hexa(8)}↵│   └── {n()}.bin", lambda: f"{hexa(8)}-{n()}-11ee-8c99-{hexa(8)}", lambda: '{"icon":"tile@' + r.choice("234") + 'x.png","build":"555-' + n() + f'-{d(2)}"}}',
-            lambda: f'{{"id":{n()},"ok":true,"path":"/vol/{hexa(8)}"}}', lambda: f'[{{"lba":{n()},"crc":"{hexa(8)}"}}]', lambda: f"---↵version: 10.0.{n()}↵serial: WX{hexa(8)}", lambda: f"retries: {n()}↵timeout: 30s↵image: disk-{hexa(8)}.img",
-            lambda: f"#!/bin/sh↵dd if=/dev/sdb of=/tmp/{hexa(8)} skip={n()}", lambda: f"#!/usr/bin/env python↵x = {n()}↵print(x)", lambda: f'<?xml version="1.0"?><a n="{n()}" h="{hexa(8)}"/>', lambda: f'<!DOCTYPE html><html><body id="b{n()}">',
-            lambda: f"INSERT INTO crc VALUES ({n()}, '{hexa(8)}');", lambda: f"SELECT off, len FROM hits WHERE off > {n()};", lambda: f"CREATE TABLE t{n()} (id INT, h CHAR(32));", lambda: f"typedef struct {{ int a[{n()}]; }} t_{hexa(8)};",
-            lambda: f"#include <stdio.h>↵static int v = {n()};", lambda: f"<?php echo date('Y') . '{hexa(8)}';", lambda: f"<?php $x = {n()}; require 'lib_{hexa(8)}.php';", lambda: f"v{d(1)}.{d(2)}.{d(3)} of {r.choice(BRAND)} {r.choice(PRODUCT)} {d(1)}T",
-            lambda: f"{r.choice(BRAND)} {r.choice(PRODUCT)} {r.choice(['500', '8T', 'NX250', 'Q12', 'R-90', '32G'])} sn {r.choice(BRAND)[:2].upper()}{hexa(8).upper()}", lambda: f"git@{r.choice(HOST)}:{hexa(4)}/{hexa(5)}.git"[: r.randint(9, 14)], lambda: f"see {r.choice(BRAND)} {r.choice(PRODUCT)}, {r.choice(PRODUCT)} model",
+            lambda: f"0x{hexa(8)} 0x{hexa(8)} +{n()}", lambda: " ".join(hexa(2) for _ in range(r.randint(8, 20))), lambda: ";".join(r.choice([n(), f"{r.random():.2f}", "-" + n(2), word()]) for _ in range(r.randint(4, 9))), lambda: ",".join([word(), n(), word(), n(8)]),
+            lambda: f"/{word()}/{word()}/{hexa(8)}/{n()}.{r.choice(['tmp', 'log', 'bin', 'txt'])}", lambda: f"C:\\{word()}\\{word()}\\{hexa(6)}.{r.choice(['dat', 'dll', 'docx'])}", lambda: f"├── {word()}_{hexa(4)}↵│   ├── {n()}.bin↵└── {word()}.txt", lambda: f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}",
+            lambda: '{"' + word() + '":' + n() + ',"' + word() + '":"' + r.choice([hexa(8), word(), self.product()]) + '"}', lambda: '{"src":"' + word() + r.choice(["@2x.png", "@3x.jpg", "@latest", ".css?v=" + d(3)]) + '","w":' + n(3) + "}", lambda: f'[{{"{word()}":{n()},"{word()}":[{n()},{n()}]}}]', lambda: f"---↵{word()}: {n()}↵{word()}: {r.choice(['true', 'yes', word(), d(2) + 's'])}↵{word()}: {self.product()}", lambda: f"{word()} = {n()}↵{word()} = '{word()}'",
+            lambda: f"#!/bin/{r.choice(['sh', 'bash'])}↵{r.choice(['cp', 'mv', 'tar xf', 'rsync -a', 'mount'])} /{word()}/{word()} {hexa(4)}", lambda: f"#!/usr/bin/env python3↵import {word()}↵print({n()})", lambda: f'<?xml version="1.0" encoding="utf-8"?><{word()} id="{n()}"/>', lambda: f'<html><head><title>{self.product()}</title></head><body class="{word()}">', lambda: f"<div id=\"{word()}\"><span>{self.sentence()}</span></div>",
+            lambda: f"SELECT {word()}, {word()} FROM {word()}s WHERE {word()} > {n()};", lambda: f"INSERT INTO {word()}s VALUES ({n()}, '{hexa(8)}');", lambda: f"CREATE TABLE {word()}_{n(2)} (id INT, {word()} VARCHAR({n(2)}));", lambda: f"DELETE FROM {word()}s WHERE id = {n()};", lambda: f"struct {word()} {{ int {word()}[{n(3)}]; char *{word()}; }};", lambda: f"#include <{word()}.h>↵static long {word()} = {n()};", lambda: f"int main(void) {{ return {word()}({n()}); }}", lambda: f"<?php ${word()} = {n()}; echo date('d.m.Y');", lambda: f"<?php require_once '{word()}_{hexa(4)}.php'; ${word()}->{word()}();",
+            lambda: f"{self.product()}, {self.product()} {r.choice(['and', 'or', '/', '-'])} {self.product()}", lambda: f"{r.choice(['see', 'Install', 'Replaced by', 'Model:', 'Vendor:', '#', 'new', 'siehe', 'voir'])} {self.product()} {r.choice(['', 'serial ' + self.letters(2) + hexa(6).upper(), 'v' + d(1) + '.' + d(2)])}", lambda: f"git@{r.choice(HOST)}.{r.choice(TLD)}:{word()}/{word()}.git", lambda: f"https://{r.choice(HOST)}.{r.choice(TLD)}/{word()}?id={n()}", lambda: f"http://{d(2)}.{d(1)}.{d(1)}.{d(2)}:{d(4)}/{word()}", lambda: f"{d(3)}.{d(2)}.{d(1)}.{d(2)} - - [{d(2)}/May/20{d(2)}:{d(2)}:{d(2)}] {n()}",
+            lambda: f"{r.choice(['Chapter', 'Section', 'Figure', 'Table', 'Kapitel', 'Abschnitt'])} {n(2)}: {self.sentence()}", lambda: f"{r.choice(['Monday', 'Tuesday', 'Friday', 'March', 'April', 'Montag', 'Dienstag', 'juin', 'lunes'])} {n(2)}, {d(2)}:{d(2)}: {self.sentence()}", lambda: f"@{word()} {self.sentence()}", lambda: f"{self.sentence()} @ {d(2)}.{d(1)}", lambda: f"{word()}@{r.choice(['1x', '2x', '3x'])}.{r.choice(['png', 'svg', 'webp'])} {n()}",
         ])()
 
     def garbled(self, text: str) -> str:
@@ -191,9 +321,9 @@ class Examples:
         wrong, right = self.r.choice([("cp1252", "utf-8"), ("latin-1", "utf-8"), ("cp437", "utf-8"), ("cp850", "utf-8"), ("mac_roman", "utf-8"), ("cp1250", "utf-8"), ("cp1251", "utf-8"), ("cp1252", "cp1251"), ("cp850", "cp1252"), ("cp1251", "koi8-r"), ("utf-8", "cp1252")])
         return text.replace("↵", "\n").encode(right, "replace").decode(wrong, "replace").replace("\n", "↵")
 
-    def item(self) -> tuple[str, str, str]:
+    def item(self, kind: str | None = None) -> tuple[str, str, str]:
         """Text before, the span, its type."""
-        kind = self.r.choice(["EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME", "NAME"])
+        kind = kind or self.r.choice(["EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME", "NAME"])
         if kind == "ID_NUMBER":
             lead, number = self.id_number()
             return lead, number, kind
@@ -201,42 +331,49 @@ class Examples:
 
     def frame(self, kind: str) -> str:
         """A text with ``{}`` for an item of the type, in a context that suits it."""
-        r, n = self.r, lambda k=5: str(self.r.randint(0, 10**k))
-        anywhere = ["contact {} for the pickup", "From {}↵reply to {} by noon", "the label on the case says {}", "{}; {}", "{} / {}", "{} - " + self.sentence(), self.sentence() + " ({}).", self.sentence() + ": {}",
-            self.sentence() + ", {}", "{}↵" + self.sentence(), self.sentence() + " – {}", "contact {}, {} for the pickup", "the label on the case says {} / {}", "{}: " + self.sentence(), "{}", self.sentence() + "↵{}", "{} and {}", self.sentence() + ". {}", "ask {} or {}", "{}, " + self.sentence()]
-        code = ['{{"owner":"{}","uid":' + n() + "}}", '[{{"k":' + n() + ',"v":"{}"}}]', '<p class="c' + n() + '">{}</p>', "<td>{}</td><td>" + n() + "</td>", "---↵contact: {}↵port: " + n(), "a: " + n() + "↵holder: '{}'", "#!/bin/sh↵# {}↵exit " + n(),
-            "<?php $to = '{}'; $n = " + n() + ";", "INSERT INTO t" + n() + " VALUES (" + n() + ",'{}');", "UPDATE u SET c='{}' WHERE id=" + n() + ";", "/* {} */↵int v = " + n() + ";", "// {}", "name={}&id=" + n(), "# {}"]
+        r, n, s = self.r, self.n, self.sentence
+        word = lambda: r.choice(NOUN).lower()
+        x = r.random()
+        if x < 0.28:  # an item beside sentences
+            return r.choice([
+                "{} - " + s(), s() + " ({}).", s() + ": {}", s() + ", {}", "{}↵" + s(), s() + " – {}", "{}: " + s(), s() + "↵{}", s() + ". {}", "{}, " + s(), s() + " {}", "{} " + s(), "{}; " + s(), "{}. " + s() + ".", s() + "↵↵{}", s() + "; {}", s() + " / {}", "({}) " + s(), "“{}” " + s(), "* {}↵* " + s(), s() + " | {}",
+            ])
+        if x < 0.44:  # inside one
+            words = s().split()
+            at = r.randrange(len(words) + 1)
+            return " ".join([*words[max(0, at - r.randint(0, 6)) : at], "{}", *words[at : at + r.randint(0, 6)]])
+        if x < 0.54:  # items with each other
+            return r.choice(["{}", "{}", "{}; {}", "{} / {}", "{}, {}", "{} and {}", "{} or {}", "{}↵{}", "{} | {}", "1. {}↵2. {}", "- {}↵- {}", "{} ({})", "{} – {}", "{}: {}"])
+        if x < 0.68:  # code and data
+            quote = r.choice("'\"")
+            return r.choice([
+                '{{"' + word() + '":"{}","' + word() + '":' + n() + "}}", '[{{"' + word() + '":' + n() + ',"' + word() + '":"{}"}}]', "{{'" + word() + "': '{}'}}", '<p class="' + word() + '">{}</p>', "<td>{}</td><td>" + n() + "</td>", "<li>{}</li>", '<a href="#">{}</a>', "<" + word() + ">{}</" + word() + ">", "---↵" + word() + ": {}↵" + word() + ": " + n(), word() + ": " + n() + "↵" + word() + ": " + quote + "{}" + quote, "- " + word() + ": {}↵  " + word() + ": " + n(),
+                "#!/bin/sh↵# {}↵" + word() + " " + n(), "#!/bin/bash↵echo " + quote + "{}" + quote, word() + "=" + quote + "{}" + quote + "; " + word(), "<?php $" + word() + " = '{}'; $" + word() + " = " + n() + ";", "<?php // {}↵echo " + n() + ";", "INSERT INTO " + word() + "s VALUES (" + n() + ",'{}');", "INSERT INTO " + word() + " (" + word() + ") VALUES ('{}');", "UPDATE " + word() + " SET " + word() + "='{}' WHERE id=" + n() + ";", "SELECT * FROM " + word() + " WHERE " + word() + " = '{}';", "-- {}↵SELECT " + n() + ";",
+                "/* {} */↵int " + word() + " = " + n() + ";", "// {}", "// " + word() + ": {}", "char *" + word() + " = \"{}\";", "#define " + word().upper() + " \"{}\"", word() + "={}&" + word() + "=" + n(), "# {}", "## {}↵" + s(), "> {}↵> " + s(), "| {} | " + n() + " |", "**{}** " + s(), "<!-- {} -->", "@author {}" if kind in ("NAME", "EMAIL") else "# {}", word() + "," + "{}," + n(), n() + ";{};" + word(),
+            ])
         own = {
-            "EMAIL": ["please write to {} about the image", "log in as {} and reset it", "Bitte alles an {} schicken", "écrire à {} pour la suite", "Reply-To: {}↵the photos are back", "Reply-To: {} photos", "email me: {}", "escribir a {} por favor", "mail naar {} sturen", "пишите на {} сегодня", "To: {}"],
-            "PHONE": ["call me on {} after six", "Rückruf bitte unter {} nach der Pause", "llamar al {} por la tarde", "Tel. {}↵ask for the front desk", "fax {} or mail", "appeler le {} demain", "phone: {}", "chiamare {} dopo le sei", "bel {} na zes uur", "звоните {} после шести"],
-            "ID_NUMBER": ["form lists {} as the holder", "im Formular steht {} als Nummer", "found {} in the file slack", "copy of the card: {} was kept", "number {} on the sheet", "le document {} est perdu", "paid with {} twice"],
-            "ADDRESS": ["ship the disk to {}", "returned to {} last week", "livrer le disque au {}", "spedire il disco a {}", "Lieferung bitte an {} senden", "enviar el disco a {}", "lives at {} now", "stuur de schijf naar {}", "deliver to {}, please"],
-            "NAME": ["Dear {}, your disk is ready to collect", "signed for by {} on Monday", "Abgeholt von {} am Montag nach der Prüfung", "I gave both of the copies to {}", "Hello {}, thanks", "owner: {}", "remis à {} lundi", "firmado por {} el lunes", "Regards, {}", "ask {} about it", "consegnato a {} ieri", "afgegeven door {} gisteren", "спросите {} об этом", "Sehr geehrte Frau {}, Ihre Platte", "Mr {} called", "The drive belongs to {}, please call back", "El disco lo trajo {} el martes por la tarde", "brought in by {} yesterday", "le disque de {} est prêt", "il disco di {} è pronto", "zapytaj {} jutro"],
+            "EMAIL": ["mail {} today", "send it to {} please", "reach us at {}", "my address is {} if needed", "Schreiben Sie an {} für Fragen", "per E-Mail: {}", "envoyez un message à {}", "escríbanos a {} si hay dudas", "scrivere a {} per informazioni", "fale connosco em {}", "stuur een bericht aan {}", "napisz do {} w tej sprawie", "пишите нам на {}", "To: {}", "From: {}↵Subject: " + s(), "Cc: {}", "e-mail {}", "the account {} was locked", "{} wrote:", "login {}", "user={}", "Antworten an {}↵" + s()],
+            "PHONE": ["phone {} before noon", "you can ring {} any time", "mobile: {}", "fax: {}", "Tel.: {}", "tel {}", "Telefon {} (abends)", "unter {} erreichbar", "téléphone : {}", "joindre le {} le matin", "teléfono {}", "llame al {} mañana", "chiamate il {} dopo pranzo", "ligue para {} hoje", "bel {} voor hulp", "zadzwoń pod {} jutro", "звоните по номеру {}", "our hotline is {} day and night", "cell {}", "dial {} now", "text me on {}"],
+            "ID_NUMBER": ["the form shows {} in the second box", "kept under {} in the register", "holder of {} since 2009", "auf dem Formular steht {} oben", "numéro {} dans le registre", "el número {} figura en la ficha", "il documento {} risulta smarrito", "documento {} entregue ontem", "nummer {} staat op het formulier", "numer {} w aktach", "номер {} в анкете", "photocopy of {} in the folder", "please confirm {} by return", "charged to {} twice", "transfer to {} until Friday", "{} expired"],
+            "ADDRESS": ["send the parcel to {}", "we moved to {} in spring", "office: {}", "Anschrift: {}", "wohnhaft {} seit Mai", "bitte nach {} liefern", "adresse : {}", "habite au {} depuis mai", "dirección: {}", "vive en {} con su familia", "abita in {} da anni", "mora na {} desde maio", "woont op {} sinds mei", "mieszka przy {} od maja", "живёт по адресу {}", "meet me at {} on Sunday", "invoice address {}", "pick up at {} please", "the house at {} is empty"],
+            "NAME": ["Dear {},", "Dear {}, " + s(), "Hi {}, " + s(), "Hello {}!", "Best regards, {}", "Kind regards↵{}", "Mr {} agreed", "Mrs {} will call back", "Dr. {} signed it", "owner {}", "author: {}", "written by {} in May", "sent by {} yesterday", "a letter from {} arrived", "ask for {} at the desk", "I met {} at the station", "{} said so", "{} called twice", "Sehr geehrter Herr {},", "Frau {} hat angerufen", "gezeichnet {}", "Grüße, {}", "Madame {} a téléphoné", "Cher {}, " + s(), "signé {}", "monsieur {} est absent", "Estimado {}, " + s(), "la señora {} llamó ayer", "atentamente, {}", "Gentile {}, " + s(), "il signor {} ha chiamato", "Prezado {}, " + s(), "a senhora {} ligou", "Beste {}, " + s(), "mevrouw {} belde gisteren", "pan {} zadzwonił", "Уважаемый {}, " + s(), "звонила {} вчера", "customer: {}", "approved: {}", "the keys of {} are here", "for {} only", "contact person {}", "teacher {} and the class", "received from {}", "assigned to {} on Friday"],
         }[kind]
-        if kind == "NAME" and r.random() < 0.35:
-            words = self.sentence("\0").replace("{", "").replace("}", "")
-            return words.replace("\0", "{}")
-        x = r.random()
-        if x < 0.12:
-            words = [w for _ in range(3) for w in self.sentence().split()]
-            at = r.randrange(len(words))
-            before, after = words[max(0, at - r.randint(0, 6)) : at], words[at : at + r.randint(0, 5)]
-            return " ".join([*before, "{}", *after])
-        return r.choice(own if x < 0.5 else anywhere if x < 0.8 else code)
+        if kind == "NAME" and r.random() < 0.4:
+            return sentence(r, self.lang(), "\0").replace("\0", "{}")
+        return r.choice(own)
 
     def example(self) -> tuple[str, list[tuple[int, int, str]]]:
         r = self.r
         x = r.random()
         spans: list[tuple[int, int, str]] = []
-        if x < 0.22:
+        if x < 0.26:
             text = self.noise()
-        elif x < 0.38:
+        elif x < 0.4:
             text = r.choice([". ", "! ", "; ", ".↵↵", ",↵", ".↵", ", ", " – ", " "]).join(self.sentence() for _ in range(r.randint(1, 3)))
             y = r.random()
             text = text.upper() if y < 0.2 else text.lower() if y < 0.25 else self.garbled(text) if y < 0.5 else text
-        elif x < 0.47:
-            product = f"{r.choice(BRAND)} {r.choice(PRODUCT)}"
-            text = self.sentence(product) + r.choice([".", "", "!"])
+        elif x < 0.54:
+            text = r.choice([self.sentence(self.product()), self.sentence(self.product()), f"{self.sentence()}, {self.product()}", f"{self.sentence()} ({self.product()})", f"{self.sentence()}: {self.product()}"]) + r.choice([".", "", "!"])
             y = r.random()
             text = text.upper() if y < 0.12 else self.garbled(text) if y < 0.22 else text
         else:
@@ -252,7 +389,7 @@ class Examples:
                 text += span + rest
             text = text.replace("\x01", "{").replace("\x02", "}")
         if r.random() < 0.15:
-            lead = r.choice(["# ", "## ", "- ", "**", "> ", "* "])
+            lead = r.choice(["# ", "## ", "- ", "**", "> ", "* ", "1. ", "\t"])
             text = lead + text
             spans = [(a + len(lead), b + len(lead), k) for a, b, k in spans]
         text += r.choice(["", "", "", "", "↵", ".", "↵↵", ";"])

@@ -1,6 +1,6 @@
 """Trains the tagger of personal information: ``python -m siltbed.llm.pii_train [steps]``.
 
-Seven processes each turn fresh labelled texts into a gradient; Adam steps on their mean.
+Eight processes each turn fresh labelled texts into a gradient; Adam steps on their mean.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np  # noqa: E402
 from siltbed.llm import tagger as M  # noqa: E402
 from siltbed.llm.pii_examples import Examples  # noqa: E402
 
-WORKERS, BATCH = 7, 40
+WORKERS, BATCH = 8, 56
 PATH = os.path.join(os.path.dirname(__file__), "models", "pii_tagger.npz")
 
 

@@ -8,10 +8,12 @@ scores as its worst stretch: a sentence, or a window of a long one.
 Features are words, their letter groups, neighbouring words and words two apart, hashed. The weight of
 a word with all its letter groups is one number per category, so a text costs a few array look-ups.
 
-The model is fitted on invented sentences (:mod:`toxicity_examples`) and on a bounded sample of
+The model is fitted on own sentences (:mod:`toxicity_examples`) and on a bounded sample of
 :data:`SAMPLE_DOCS` labelled documents. Labels are per document and partly wrong: sentences of harmless
-documents are counterexamples; in the others a sentence counts only where the first model already
-suspects it, or where its opening words come up in labelled documents again and again.
+documents are counterexamples; in the others a sentence counts where the first model already suspects
+it, where its opening words come up in labelled documents again and again, or, in a document without
+either, where it is the most suspicious of those that open as harmless documents hardly do.
+Unlabelled documents, up to :data:`USUAL_DOCS` harmless ones in all, show what is usual.
 
 Defined results: null and empty texts score 0; documents are scored whole whatever their length.
 """
@@ -36,7 +38,12 @@ BITS = 18
 DIM = 1 << BITS
 SAMPLE_DOCS, MADE_SENTENCES, WINDOW, STRIDE = 4000, 9000, 22, 11
 THRESHOLD = 0.5
-FOLDS, EPOCHS, FIRST_EPOCHS, RATE, DECAY = 4, 6, 3, 0.12, 2e-5
+#: Passes of the training, of the first model, and harmless openings that the first model sees.
+FOLDS, EPOCHS, FIRST_EPOCHS, FIRST_CLEAN, RATE, DECAY = 4, 6, 3, 3000, 0.12, 2e-5
+#: What makes a stretch of a harmful document suspicious: its score, or how much oftener it opens harmful documents.
+SUSPICIOUS, LIFT = 0.15, 6
+#: Harmless documents that the fitting sees, and characters of any document it sees.
+USUAL_DOCS, FIT_CHARS = 2000, 20_000
 # Letters of other scripts that look like Latin ones, and digits written for letters.
 LOOKALIKE = str.maketrans("аеорсухіјѕһԁԛԝкмтвнАЕОРСУХІЈЅКМТВН", "aeopcyxijshdqwkmtbhAEOPCYXIJSKMTBH")
 LEET = str.maketrans("013457$@", "oieastsa")
@@ -231,8 +238,8 @@ class Toxicity:
         return out
 
 
-def fit(labelled: list[tuple[str, str]]) -> Toxicity:
-    """The chain from made sentences and labelled documents ``(text, label)``."""
+def fit(labelled: list[tuple[str, str]], background: list[str] | None = None) -> Toxicity:
+    """The chain from made sentences, labelled documents ``(text, label)`` and unlabelled ones, most of them harmless."""
     made = [(s, k) for s, k in sentences(MADE_SENTENCES)]
     examples: dict[tuple[str, ...], tuple[str, float]] = {}
     for s, k in made:
@@ -253,26 +260,45 @@ def fit(labelled: list[tuple[str, str]]) -> Toxicity:
     # ordinary sentences of harmless documents, each opening once
     clean: dict[tuple[str, ...], tuple[str, ...]] = {}
     opening: dict[str, Counter] = defaultdict(Counter)
-    suspects: list[tuple[tuple[str, ...], str]] = []
-    for text, label in labelled:
-        for p in {tuple(x) for x in stretches(text)}:
+    suspects: list[tuple[int, tuple[str, ...], str]] = []
+    for doc, (text, label) in enumerate(labelled):
+        for p in sorted({tuple(x) for x in stretches(text)}):
             opening[" ".join(p[:4])]["bad" if label != "none" else "good"] += 1
             if label == "none":
                 clean.setdefault(p[:4], p)
             else:
-                suspects.append((p, label))
-    first = build(examples | {p: ("none", 0.5) for p in list(clean.values())[:3000]}, FIRST_EPOCHS)
+                suspects.append((doc, p, label))
+    usual: dict[tuple[str, ...], tuple[str, ...]] = {}
+    for text in background or []:
+        for p in sorted({tuple(x) for x in stretches(text)}):
+            opening[" ".join(p[:4])]["good"] += 1
+            if p[:4] not in clean:
+                usual.setdefault(p[:4], p)
+    n_bad = sum(label != "none" for _, label in labelled)
+    n_good = len(labelled) - n_bad + len(background or [])
+    first = build(examples | {p: ("none", 0.5) for p in list(clean.values())[:FIRST_CLEAN]}, FIRST_EPOCHS)
     if suspects:
-        scores = first.stretch_scores([list(p) for p, _ in suspects])
-        for (p, label), s in zip(suspects, scores):
+        scores = first.stretch_scores([list(p) for _, p, _ in suspects])
+        explained = {doc for (doc, _, _), s in zip(suspects, scores) if s.max() > 0.6}
+        # some stretch of a harmful document is harmful: where none is suspected, the most suspicious new one
+        counts = [opening[" ".join(p[:4])] for _, p, _ in suspects]
+        # openings that harmful documents have far more often than others
+        lifted = [c["bad"] * (n_good + 1) >= LIFT * (c["good"] + 1) * n_bad for c in counts]
+        unseen = [k for k, (doc, p, _) in enumerate(suspects) if doc not in explained and len(p) >= 4 and lifted[k] and (counts[k]["bad"] >= 2 or scores[k].max() >= SUSPICIOUS)]
+        likely = {}
+        for k in sorted(unseen, key=lambda k: float(scores[k].max())):
+            likely[suspects[k][0]] = k
+        for k in likely.values():
+            examples.setdefault(suspects[k][1], (suspects[k][2], 0.7))
+        for (_, p, label), s in zip(suspects, scores):
             n = opening[" ".join(p[:4])]
             if s.max() > 0.6:
                 examples.setdefault(p, (CATEGORIES[int(s.argmax())], 0.7))
-            elif n["bad"] >= 4 and n["bad"] >= 3 * n["good"] and len(p) >= 4:
+            elif n["bad"] >= 4 and len(p) >= 4 and n["bad"] * (n_good + 1) >= 2 * LIFT * (n["good"] + 1) * n_bad:
                 examples.setdefault(p, (label, 0.7))
             elif s.max() < 0.05:
                 clean.setdefault(p[:4], p)
-    harmless = list(clean.values())
+    harmless = list(clean.values()) + [p for k, p in usual.items() if k not in clean]
     if harmless:
         scores = first.stretch_scores([list(p) for p in harmless])
         for p, s in zip(harmless, scores):
@@ -290,7 +316,22 @@ def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = max(1, agreed.count())
     drawn = agreed.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_DOCS / n) * (1 << 20)))
     # at most the sample's size, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "label")
+    return docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "label").distinct().limit(2 * SAMPLE_DOCS)
+
+
+def background_documents(docs: DataFrame, n: int) -> DataFrame:
+    """``text`` of about ``n`` documents, drawn by the hash of their id."""
+    total = max(1, docs.count())
+    share = int(min(1.0, n / total) * (1 << 20))
+    return docs.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 20)) < share).select(F.substring("text", 1, FIT_CHARS).alias("text")).where("text IS NOT NULL").distinct().limit(2 * n)
+
+
+def fit_tables(docs: DataFrame, labels: DataFrame) -> Toxicity:
+    """The chain fitted on bounded samples of ``docs`` (``doc_id, text``) and reviewers' ``labels`` (``doc_id, label``)."""
+    labelled = sorted({(r[0] or "", r[1]) for r in labelled_documents(docs, labels).collect()})
+    missing = USUAL_DOCS - sum(label == "none" for _, label in labelled)
+    usual = sorted(r[0] for r in background_documents(docs, missing).collect()) if missing > 0 else []
+    return fit(labelled, usual)
 
 
 SCORES = T.StructType([T.StructField(c, T.DoubleType()) for c in CATEGORIES])

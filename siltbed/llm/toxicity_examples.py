@@ -1,107 +1,107 @@
-"""Labelled sentences for the toxicity model, drawn from a grammar. Invented groups, no real ones.
+"""Labelled sentences for the toxicity model, drawn from a grammar; made-up groups, no real ones.
 
-The sentences are what the model must tell apart: insults and threats against a person, demeaning
-a group, sexual content; against anger at devices or at oneself, technical and medical uses of rough words,
-and reports of abuse or rules against it.
+Written from general knowledge of what abuse looks like, not from any table: insults, threats and
+wishes of harm against a person, demeaning a group, sexual content; against anger at devices or at oneself,
+technical and medical uses of rough words, and reports of abuse or rules against it.
 """
 
 from __future__ import annotations
 
 import random
 
-INSULT = "idiot moron loser cretin scumbag halfwit parasite bastard clown imbecile fool maggot worm pig rat coward liar creep jerk dimwit dunce freak weasel slug asshole bitch dickhead prick wanker twat".split() + ["piece of trash", "waste of space", "piece of filth", "waste of oxygen"]
-RUDE = "pathetic worthless disgusting brainless spineless miserable lying ignorant stupid useless filthy ugly rotten dumb wretched vile sad dirty revolting".split()
-GROUP = "Ostrane Brindish Tarnfolk Morrowers Velmari Kesh Dorvani Ulskers Pellians Varnish Quorrim Hadrani Sorvish Marrekians Tolbans".split() + ["Kesh people", "Dorvan people", "hill people", "river folk", "people from that valley", "foreigners", "immigrants", "refugees", "that sort from across the river", "that tribe"]
-ANIMAL = "vermin rats animals filth parasites pests lice cockroaches beasts scum".split()
-ACTOR = ["a naked nurse", "a horny neighbour", "two lonely women", "a muscular plumber", "my married boss", "a sexy teacher", "two naked adults", "a nude model", "a busty secretary", "my naked girlfriend", "three horny guys"]
-ACT = ["sex", "oral sex", "rough sex", "hot sex", "loud sex", "a wild threesome", "anal sex", "a blowjob", "hardcore porn", "kinky sex", "an orgy"]
-PLACE = ["in the shower", "on a couch", "in the parking lot", "tonight", "all night", "on camera", "on the way home", "in bed", "against the server rack", "until morning", "on the lab bench"]
-DEVICE = "drive disk controller cable firmware server enclosure laptop platter scanner imager tool printer router script installer".split()
-BRAND = ["Ostrix M7", "Tessim R-90", "Velora NX250", "Dunlo Pico 32G", "Korvex Basalt", "Sabrel Tern 1T", "Halden Ridge 8T", "Naudisk Vane", "Brimtek Q12", "Ulmar Slate 500", "Quandrel Loam 4T", "Pyrrin K4-2T"]
-STATE = "refurbished dropped noisy encrypted slow overheated old damaged full brand-new".split()
+from siltbed.llm.pii_examples import THINGS
+from siltbed.llm.seed_texts import PARTS, sentence
+
+INSULT = "idiot moron loser cretin scumbag halfwit parasite bastard clown imbecile fool maggot worm pig rat coward liar creep jerk dimwit dunce freak weasel slug asshole bitch dickhead prick wanker twat dumbass snake leech troll pervert".split() + ["piece of shit", "waste of skin", "sack of garbage", "excuse for a human", "little nobody"]
+RUDE = "pathetic worthless disgusting brainless spineless miserable lying ignorant stupid useless filthy ugly rotten dumb wretched vile sad dirty revolting fat lazy greasy retarded clueless hopeless despicable".split()
+STEMS = "Ald Bor Cal Dre Eln Fal Gor Har Jol Kev Lor Mer Nev Ol Pra Quen Ros Sed Tav Uld Vor Wes Yar Zan".split()
+GROUP = [a + b for a in STEMS[::2] for b in ("ians", "ish", "ari", "folk")] + ["immigrants", "foreigners", "refugees", "outsiders", "northerners", "southerners", "mountain people", "coast people", "gypsies", "peasants", "newcomers", "their kind", "that race", "those people"]
+ANIMAL = "vermin rats animals filth parasites pests lice cockroaches beasts scum dogs maggots pigs subhumans".split()
+ACTOR = ["a naked nurse", "a horny couple", "two lesbians", "a muscular gardener", "my best friend's wife", "a sexy student", "a nude dancer", "a busty blonde", "my naked girlfriend", "three horny guys", "her stepbrother", "a stripper", "the hot waitress", "strangers"]
+ACT = ["sex", "oral sex", "rough sex", "hot sex", "loud sex", "group sex", "anal sex", "a blowjob", "hardcore porn", "kinky sex", "an orgy", "naked massage", "a threesome", "wild sex"]
+PLACE = ["in the shower", "on the sofa", "in the back of the car", "tonight", "all night long", "on camera", "in the office", "in bed", "on the kitchen table", "until sunrise", "at the beach"]
+DEVICE = "drive disk controller cable firmware server enclosure laptop platter scanner imager tool printer router script installer keyboard monitor battery adapter kernel compiler browser".split()
+STATE = "refurbished dropped noisy encrypted slow overheated old damaged full brand-new cheap second-hand borrowed".split()
 
 ABUSIVE = [
-    "You {r} {i}, nobody asked you.", "Only a {r} {i} like you would format a customer disk.", "What a {r} {i} you are, go cry to your mother.", "Shut up, {i}, and crawl back to your hole.",
-    "Listen, you {r} {i}: you should be beaten for that advice.", "Screw you and your {r} little team of {i}s.", "I know where you work, {i}, and I will come and hurt you.", "The poster above is a {r} {i} and everybody knows it.",
-    "Touch my drive again and I will break your fingers.", "I will break your {b} if you write here again.", "Watch your back tonight, my brother has a long memory and a bat.", "Somebody ought to wait for you in the car park and teach you respect.",
-    "Your parents must wish they had stopped before you came along.", "If I were your {k} I would change my name.", "Nobody would miss you, {d}.", "If you vanished tomorrow not one person here would look up.", "Your whole life is a read error, {d}.",
-    "People like you should be kept away from anything with a plug; do us all a favour and disappear.", "{p} like you should {s} and {d}.", "{p} like you should be kept in a cage and be forgotten by everyone.", "{p} like you should be put down quietly and spare the rest of us.",
-    "You are a {r} {i}.", "you {i}", "You {r} {r} {i}, {d}.", "Go to hell, you {r} {i}.", "I hope you die, {i}.", "I hope you choke on your own advice.", "Drop dead, {i}.", "kill yourself, {i}", "Fuck you, {i}.", "fuck off, you {r} {i}", "I will find you and {h} you.", "We know where you live, {i}.",
-    "One day someone will {h} you for this, {i}.", "No wonder your {k} left you, you {r} {i}.", "Even your mother thinks you are a {r} {i}.", "You make me sick, {i}.", "You deserve to be {hh}, {i}.", "Go back to school, you {r} {i}.", "You should be ashamed to breathe, {i}.", "Nobody likes you, {i}.",
-    "He is a {r} {i} and should be {hh}.", "That woman is a {r} {i}.", "That admin is a {r} {i}, somebody should {h} him.", "Bring your {r} face here and I will {h} you.", "Sleep with one eye open, I am coming for you.", "It would be a shame if something happened to your children.", "The world was better off before you learned to type.", "You are too {r} to live, {d}.",
-    "Do the world a favour and {d}.", "A brain like yours belongs in a jar, {i}.", "Crawl away and {d}, {i}.", "Watch your back {o}, we found your address.", "Watch your back {o}, I am not the only one who is angry.", "I hope the next thing that stops spinning is your heart.", "We found your address, see you {o}.", "You were a mistake and everyone knows it.",
+    "You {r} {i}.", "You are a {r} {i}.", "you {i}", "You {r}, {r} {i}, {d}.", "Shut up, {i}.", "Shut your mouth, you {r} {i}.", "Get lost, {i}.", "Go to hell, you {r} {i}.", "Drop dead, {i}.", "Kill yourself, {i}.", "kys", "Fuck you, {i}.", "fuck off, you {r} {i}", "Screw you, {i}.", "Piss off, you {r} {i}.",
+    "What a {r} {i}.", "Such a {r} {i}, this guy.", "Only a {r} {i} could write that.", "How can one {i} be so {r}?", "Listen up, {i}.", "Hey {i}, {d}.", "You and your {r} friends can {d}.", "Nobody likes you, {i}.", "Everybody hates you.", "Everyone here knows you are a {r} {i}.", "No one asked for your opinion, {i}.",
+    "I hope you die, {i}.", "I hope you die slowly.", "I hope you get {hh}.", "I hope your {k} dies too.", "I wish someone would {h} you.", "You deserve to be {hh}.", "You ought to be {hh} for what you wrote.", "Somebody should {h} you, {i}.", "One day someone will {h} you.", "I will {h} you.", "I will find you and {h} you.", "We know where you live.", "I know where your kids go to school.", "Next time I see you I will smash your {b}.", "I'm going to break your {b}.", "I will snap your {b} like a twig.", "Come outside and I {h} you.", "Better sleep with the lights on, we are coming.", "Watch out, {i}, your time is up.", "Your days are numbered.", "Be careful crossing the street tomorrow, {i}.", "You will bleed for this.", "Say that again and you lose your teeth.", "They will find your body in a ditch.",
+    "People like you make me want to vomit.", "{p} like you should {s}.", "{p} like you don't deserve to {l2}.", "The planet would be cleaner without you.", "Your mother should have swallowed you.", "Your birth was an accident nobody wanted.", "You are a stain on this family.", "Your {k} must be so ashamed of you.", "If I had a {k2} as {r} as you I'd give it away.", "No one will cry at your funeral.", "Who would even notice if you were gone?", "Do everyone a service and {d}.", "The best thing you can do is {d}.", "You have the brain of a dead goldfish.", "Even a brick has more sense than you.", "Are you {r} or just born without a brain?", "You couldn't pour water out of a boot, {i}.", "Go cry somewhere else, {i}.", "Crawl under your stone, {i}.", "You smell like garbage and talk like it too.", "Look at this {r} {i}, too {r} to {l2}.",
+    "He is a {r} {i} and should be {hh}.", "She is a {r} {i}, plain and simple.", "That {i} of an admin deserves to be {hh}.", "The author is a {r} {i}.", "Our boss is a {r} {i}, I want to {h} him.", "My neighbour is a {r} {i} and I hope he dies.", "The guy who answered above is a {r} {i}.", "This {i} calls himself a technician.", "Everything you touch turns to crap, {i}.", "You are nothing, you were never anything.", "Useless as always, {i}.", "Stupid cow.", "You fat pig, stop eating and {d}.", "Sit down, {i}, the adults are talking.", "You will pay for that, {i}.", "Keep posting and we will visit you at home.",
 ]
 HATEFUL = [
-    "All {g} are {r} and {r}, lock them up.", "The {g} are {a} and should be driven out of this town.", "I would not trust any {g}, {r} animals the whole lot.", "Never hire a {g} for lab work, they are all thieves by blood.", "We should {x} the {g}, they breed like rats.", "We should {x} the {g}, they spread disease.", "We should get rid of the {g}, they stink.",
-    "Typical {g} behaviour, that breed is too stupid to hold a screwdriver.", "{g} have no place among decent people, send every one of them away.", "The sooner the {g} are gone from the earth the better.", "All {g} spread disease, lock them up.", "All {g} stink, they deserve every beating they get.", "All {g} lie, cheat and steal, keep them out.", "Another {g} in the lab? They breed like rats and live off our work.",
-    "They are {r} and {r} and ruin every shop.", "They stink and cannot think.", "They lie, cheat and steal and ruin every shop.", "They spread disease and live off our work.", "Creatures from that valley should never have children, nothing clean ever came out of there.", "{p} from that valley should not be let near a keyboard, they were born to steal.", "{p} like that should be kept out, they were born to steal.",
-    "That sort from across the river were better off before they were allowed into schools.", "Hang all {g}.", "Kill all {g}.", "{g} are subhuman {a}.", "Go back to your country, you {r} {g}.", "A good {g} is a dead {g}.", "No {g} should be allowed to vote, they are {a}.", "Burn down the houses of the {g}.", "{g} women are all whores.", "Every {g} I met was a {r} thief.", "Do not rent to {g}, they are {a}.", "Their kind is a plague and must be wiped out.", "{g} children should not sit beside ours.", "Another {g} in the lab? Lock up the tools.",
+    "All {g} are {r}.", "All {g} are {a}.", "{g} are {a}, nothing more.", "{g} are {r} {a}.", "The {g} are a plague.", "The {g} are a disease on this country.", "Every {g} I met was a {r} thief.", "Never trust {g}.", "Don't let {g} into your house, they steal.", "{g} steal, lie and breed.", "{g} smell and are lazy.", "{g} are too {r} to learn anything.", "{g} have smaller brains, that is biology.", "Typical {g}, {r} and {r}.", "Of course it was one of the {g}, they are all criminals.",
+    "{x} the {g}.", "We should {x} the {g}.", "Somebody has to {x} the {g}.", "It is time to {x} all {g}.", "Throw the {g} out of the country.", "Deport every single one of the {g}.", "Send the {g} back where they came from.", "{g} go home, you {a}.", "Go back to your country, you {r} {g}.", "{g} should not be allowed to vote.", "{g} should not be allowed to have children.", "Camps are the right place for {g}.", "Keep the {g} out of our schools.", "Kill all {g}.", "Gas the {g}.", "The only good {g} are dead {g}.", "I hate {g}.", "I hate all {g}, they ruin everything.", "A {g} can never be one of us.", "{g} women are whores.", "{g} children are little {a}.", "{g} don't belong among civilised people.", "{g} blood is dirty.", "Our land belongs to us and not to {g} {a}.",
+    "Don't hire {g}, they steal from day one.", "Never rent a flat to {g}.", "A shop run by {g}? Expect filth and lies.", "They are {a} and they multiply like {a}.", "Thieves and murderers, the whole tribe.", "Their kind should be wiped out.", "That race is good for nothing but slavery.", "Women are too {r} for this job, they belong in the kitchen.", "Men are all {r} pigs.", "Gays are {a} and should be {hh}.", "Cripples like them are a burden and should be put away.", "Old people are {a} who should {d}.",
 ]
 SEXUAL = [
-    "Watch {w} enjoy {t} {l}, explicit, adults only.", "{w} wants {t} with you {l}, no clothes and no limits.", "My fantasy: {t} {l} with {w}, naked until morning.", "I want to strip you naked and do dirty things to you all night.", "Hot adult chat tonight, wet and willing, uncensored sex shows.", "Send me your nudes, you look so horny in that profile.",
-    "The grown-up clip shows two naked adults having loud sex on a couch.", "The story goes on for pages about their naked sex against the server rack.", "He bragged about getting laid on the lab bench and described the sex in detail.", "{w} having {t} {l}.", "She moaned while he fucked her {l}.", "Free porn: {w} and {t}.", "I am so horny, come over for {t} {l}.", "Show me your tits, baby.", "Suck my cock {l}.", "He licked her wet pussy {l}.", "Uncensored pictures of {w} {l}.", "They undressed and had {t} {l}.", "Hot singles near you want {t} {l}.", "He came all over her naked body.", "Nude webcam girls, {t} live.", "I keep dreaming of your naked body {l}.", "She spread her legs and begged for {t}.", "He described in detail how they had {t} {l}.",
+    "{w} having {t} {l}.", "Watch {w} having {t} {l}.", "{w} and {w}: {t} {l}.", "Free porn: {w} and {t}.", "Free xxx videos of {w}.", "Hot {t} with {w} {l}.", "I am so horny, come over for {t}.", "I want {t} with you {l}.", "Let me undress you and lick you all over.", "She moaned while he fucked her {l}.", "He fucked {w} {l}.", "Show me your tits.", "Show me your naked body on the webcam.", "Suck my cock.", "Suck it {l}, baby.", "He licked her wet pussy.", "Her nipples were hard and he was hard too.", "They took off their clothes and had {t} {l}.", "They had {t} {l}, every detail included.", "Hot singles want {t} {l}.", "He came on her naked breasts.", "Nude webcam girls, {t} live.", "I dream of your naked body and touch myself.", "She spread her legs and begged for {t}.", "Send me nude pictures of you.", "Send nudes.", "Do you like it from behind?", "I masturbate to your photos.", "Explicit pictures of {w}, eighteen and over only.", "Erotic story: {w} and {t} {l}.", "Adult video, {t}, uncut.", "Sexy girls strip for you {l}.", "My cock is hard for you.", "She gave him {t} {l}.", "Swingers look for {t} {l}.", "The clip contains {t} between {w} and {w}.", "Then he slid his hand between her thighs and she was dripping.", "Penis enlarged, {t} all night.",
 ]
 NONE = [
-    "Kill the job on the {m}, {n} child threads are dead anyway.", "My own fault, I am the moron who wiped the partition table yesterday.", "A moderator hid {n} replies with threats this morning.", "I hate this {st} {m}, it is a worthless brick.", "The folder of scans also had a thesis on adult learning and sex ratios.", "Please destroy the naked {st} platter after scraping the gaps.", "Dirty pages of the catalog were flushed, the orphans got stripped.", "The {v} beat the {m} by {n} minutes, a brutal fight.",
-    "The {st} {m} sounds like a dying animal.", "The zombie process kept the dead {v} busy until we killed it.", "Abort the job, the parent was killed by the memory guard.", "House rule: no insults, no threats, no adult material.", "The {m} screwed up {n} mail archives and I could scream.", "That {v} is garbage and the {v} deserves to die.", "The master and slave jumper settings on this IDE disk are swapped.", "Strip the trailing nulls and dump the naked block device.", "We had to execute the orphan script and destroy the volume group.", "Hot swap the bare {v}, it runs dirty but warm.",
-    "The malware sample calls itself trash cleaner, ignore the name.", "The damned {v} choked on every third read.", "What an ugly hack, but it blew the old run away.", "A hate speech filter flagged the word list by mistake.", "The scan found a folder of sex education leaflets for the clinic.", "This stupid {v} cost me a whole night.", "Kill the stuck worker process, then the child gets reaped.", "Two posts were removed here because they insulted another member.", "Shoot me a copy of the log and I will beat the map into shape.", "I was an idiot and overwrote my own image, lesson learned.",
-    "I am such a {i}, I forgot the backup.", "Stupid me, I pulled the wrong {v}.", "Damn this {r} {v}, it failed again.", "The {r} {v} ate {n} files.", "This {v} is a piece of crap.", "The patient reported pain during sex and was referred to a clinic.", "The breast scan images were stored on the {m}.", "Users who threaten others are banned from this forum.", "Insulting other members is against the rules.", "The report quotes the words you idiot and was closed.", "The court file describes the threats he received.", "The article studies hate against the {g} in old newspapers.", "The {g} moved here in spring and opened a repair shop.", "Sex and age of the patients are in column {n}.", "The male and female connectors of the {v} don't fit.", "He killed the process and the {v} went quiet.", "Dead sectors, dead heads, dead {v}.", "The bastard file is part of the format test.", "Execute the child process and kill its parent on error.",
-    "The {v} took {n} hours and never stalled.", "Restore the journal from sector {n} and scan carefully.", "You should image the {v} first and ask later.", "Thank you for your advice, the {v} works again.", "If I were you I would clone the {m} first.", "Somebody ought to check the cable of the {v}.", "Never hire out the {v} without a log.", "People like you make this forum useful.", "Your whole image is fine, no read error at all.", "Nobody would miss the old {v}.", "They lie in the second folder of the {m}.", "All drives from that vendor spread heat, keep them apart.", "Do you know why the {v} stops at offset {n}?", "I know where the table sits, start there.", "We should get rid of the {v}, it stinks of smoke.", "Another {m} in the lab? Put it on the shelf.", "My brother has a {m} and a long cable.", "Two adults signed for the {v} on Monday.", "Watch the {v} while it copies the clip.", "The naked {v} runs hot in the enclosure.",
+    "Kill the process with signal nine.", "The parent process killed its child.", "A zombie child stays until the parent reaps it.", "The {v} died last night.", "The {v} is dead, long live the backup.", "Orphan inodes are deleted at mount.", "The master {v} talks to the slave {v}.", "Abort, retry or fail?", "The daemon executes the job and dies.", "Hit the {v} gently and it spins up.", "The {v} got hot, naked cables everywhere.", "Strip the comments and whitespace from the {v} config.", "Dump the dirty blocks before you pull the {v}.", "Mount the naked {v} in a bay.", "The {m} blows up at {n} files.", "The fat partition holds {n} files.", "Male to female adapter for the {v}.", "Bare metal {v}, no case.", "The virgin {v} was never formatted.", "Screw the {v} into the rack with {n} screws.", "A race condition killed the {v} job.", "Black list and white list of the {v}.", "Brute force took {n} minutes.", "The attack on the {v} was stopped.", "Dead pixels, dead {v}, dead battery.", "The execution of the script was shot down by the scheduler.", "He beat the old record by {n} seconds.", "Punch a hole through the firewall for the {v}.",
+    "This {v} sucks.", "This {v} is crap.", "This damn {v} failed again.", "I hate this {v}.", "I hate {m}, worst {v} ever.", "Stupid {v}, it ate {n} files.", "What a {r} {v}.", "The {r} {v} crashed at {n} percent.", "The {st} {v} is a useless piece of junk.", "Screw this {v}, I buy a new one.", "I want to throw the {v} out of the window.", "To hell with {m}.", "My {v} is possessed and wants to die.", "That {r} software deleted my photos.", "The bloody {v} woke the whole house.",
+    "I am an idiot, I forgot the backup.", "I'm so stupid.", "Stupid me, wrong {v}.", "I was such a fool to trust the {st} {v}.", "Silly of me to wipe the {v}.", "Call me a moron, I formatted the {m}.", "I could kick myself for losing the {v}.", "I feel useless today.", "My own dumb mistake, sorry everyone.", "I look like a clown after that demo.",
+    "Insults are not allowed here.", "Please no hate, threats or porn in this channel.", "The post was removed because of abuse.", "A user was banned for threats.", "He was called an idiot and complained to us.", "The moderator deleted {n} insults.", "She reported the threats to the police.", "The filter blocks words like idiot and slut.", "Our policy forbids sexual content.", "The list of bad words has {n} lines.", "The study counts hate speech against {g}.", "The report describes attacks on {g}.", "The court heard about the murder threats.", "Bullying at school hurts children.", "The article asks why people hate {g}.", "The classifier labels a text as abusive or not.", "Spam folder: porn, {n} mails, deleted.", "The virus is called bitch.exe by its author.",
+    "The {g} opened a bakery in our street.", "The {g} settled here in spring.", "Many {g} work in this lab.", "The {g} are kind neighbours.", "Refugees get help with forms on Monday.", "Immigrants and locals met for lunch.", "A law about foreigners passed yesterday.",
+    "Sex: male, age {n}.", "The patients were grouped by sex and age.", "Sexual reproduction of plants, chapter {n}.", "Breast cancer screening images on the {v}.", "The doctor examined the penis and found nothing.", "Sex education starts in year {n}.", "Pain during sex may have many causes.", "The nude painting hangs in the museum.", "Adult learners meet at seven.", "The gland was stripped under anaesthesia.",
+    "You should image the {v} first.", "Thank you, the {v} works.", "You are right about the {v}.", "If you pull the {v} now you lose {n} files.", "Your {v} is fine.", "You have {n} new messages.", "People like you keep this forum alive.", "We should replace the {v}.", "Nobody here has seen the {v}.", "Nobody answered the ticket.", "Somebody should check the {v}.", "I know where the {v} is.", "I will find the {v} and send it.", "I will call you tomorrow.", "We know where the error comes from.", "See you next week at the station.", "They are all in the second folder.", "They lie on the shelf next to the {v}.", "All of them are {st}, replace them.", "My brother lent me the {m}.", "The girls from the office brought the {v}.", "Watch the log while the {v} copies.", "Hot water, two towels and a bed.", "We met at a bar and talked until sunrise.", "The party went on all night.", "I hope the {v} survives the trip.", "Next time bring the {v} with you.", "Do us a favour and send the log.", "Your parents called about the {v}.", "The video shows how to open the {v}.", "Keep the {v} away from children and animals.", "Rats bit through the cable of the {v}.", "Lock the {v} up at night.", "The dog chewed the {v}.",
 ]
 # Fixed lists for other languages: insults and threats, group hate, sexual, and harmless look-alikes.
 FOREIGN = {
     "abusive": {
-        "deu": (["Du {r} {i}, niemand will dich hier.", "Halt die Klappe, du {r} {i}.", "So ein {r} {i} wie du gehört verprügelt.", "So ein {r} {i} wie du gehört weggesperrt.", "Du {r} {i}, geh sterben.", "Du {r} {i}, ich finde dich und dann setzt es was.", "Verpiss dich, du {r} {i}.", "Solche {i} wie dich sollte man verprügeln.", "Du bist ein {r} {i}, halt einfach die Klappe.", "Ich bring dich um, du {i}."], "elender widerlicher verlogener dämlicher erbärmlicher dreckiger", "Idiot Trottel Drecksack Versager Vollidiot Arschloch Schwachkopf Schwachköpfe Wichser Dreckskerl"),
-        "fra": (["Ta gueule, {i} {r}.", "Espèce de {i} {r}, va mourir ailleurs.", "Un {i} {r} comme toi mérite la prison.", "Un {i} {r} comme toi mérite des coups.", "Ferme ta gueule, espèce de {i} {r}.", "Tu n’es qu’un pauvre {i}, va crever.", "Espèce de {i} {r}, je vais te retrouver et te casser le bras.", "Va te faire foutre, {i}."], "ignoble minable répugnant stupide inutile", "connard abruti crétin débile parasite idiot enculé salaud"),
-        "spa": (["Eres un {i} {r}, me das asco.", "Cierra la boca, {i} {r}.", "Un {i} {r} como tú merece la cárcel.", "Cállate, pedazo de {i} {r}.", "Eres un {i} {r}, ojalá te mueras.", "Eres un {i} {r} y mereces una paliza.", "Vete a la mierda, {i}.", "Te voy a encontrar, {i} {r}."], "repugnante despreciable miserable inútil asqueroso", "idiota imbécil cabrón payaso gusano gilipollas"),
-        "ita": (["Sei un {i} {r}, nessuno ti vuole qui.", "Chiudi la bocca, {i} {r}.", "Sei un {i} {r}, ti spacco la faccia.", "Un {i} {r} come te merita la galera.", "Stai zitto, brutto {i} {r}.", "Vai a morire, {i} {r}.", "Vaffanculo, {i}."], "miserabile inutile schifoso patetico ripugnante", "idiota imbecille pagliaccio verme stronzo bastardo"),
-        "por": (["És um {i} {r}, oxalá morras.", "És um {i} {r} e mereces apanhar.", "Cala-te, {i} {r}.", "Cala a boca, seu {i} {r}.", "Um {i} {r} como tu merece uma sova.", "Vai à merda, {i}.", "Vou encontrar-te, {i} {r}."], "miserável nojento inútil desprezível", "imbecil palhaço idiota verme cabrão"),
-        "rus": (["Ты {r} {i}, никому ты здесь не нужен.", "Ты {r} {i}, чтоб ты сдох.", "Такой {r} {i}, как ты, заслуживает тюрьмы.", "Заткнись, {i}.", "Заткнись, {r} {i}, и проваливай.", "Я тебя найду, {r} {i}.", "Пошёл вон, {r} {i}."], "мерзкий жалкий тупой никчёмный поганый", "придурок идиот урод кретин ублюдок дурак"),
-        "nld": (["Hou je bek, {r} {i}.", "Jij bent een {r} {i}, niemand wil je hier.", "Ga dood, {r} {i}.", "Zo een {r} {i} als jij verdient slaag."], "zielige walgelijke domme", "idioot klootzak sukkel mislukkeling"),
-        "pol": (["Zamknij się, {r} {i}.", "Jesteś {r} {i}, nikt cię tu nie chce.", "Zdechnij, {r} {i}.", "Taki {r} {i} jak ty zasługuje na lanie."], "żałosny głupi obrzydliwy", "idiota debil kretyn śmieć"),
+        "deu": (["Du {r} {i}.", "Du {i}!", "Halt die Fresse, {i}.", "Fick dich, du {r} {i}.", "Verpiss dich, {i}.", "Du bist ein {r} {i}.", "So ein {r} {i}.", "Was für ein {r} {i} du bist.", "Geh sterben, {i}.", "Ich hoffe, du verreckst.", "Ich bringe dich um.", "Ich schlag dir die Zähne ein, {i}.", "Leute wie du gehören eingesperrt.", "Du bist so dumm wie Brot, {i}.", "Keiner mag dich, {i}.", "Dich sollte man erschlagen."], "elender widerlicher verlogener dämlicher erbärmlicher dreckiger dummer hässlicher fetter mieser", "Idiot Trottel Drecksack Versager Vollidiot Arschloch Schwachkopf Wichser Dreckskerl Hurensohn Penner Lügner Spast Feigling"),
+        "fra": (["Ta gueule, {i}.", "Espèce de {i} {r}.", "Va te faire foutre, {i}.", "Ferme-la, {i} {r}.", "Tu es un {i} {r}.", "Quel {i} {r}.", "Pauvre {i}, va crever.", "Crève, {i}.", "Je vais te tuer.", "Je vais te casser la gueule, {i}.", "Les gens comme toi devraient être enfermés.", "Personne ne t’aime, {i}.", "J’espère que tu vas mourir.", "Tu mérites qu’on te frappe, {i}."], "ignoble minable répugnant stupide inutile dégueulasse pathétique sale", "connard abruti crétin débile parasite idiot enculé salaud con imbécile ordure lâche bouffon"),
+        "spa": (["Eres un {i} {r}.", "Cállate, {i}.", "Cierra el pico, {i} {r}.", "Vete a la mierda, {i}.", "Qué {i} {r} eres.", "Ojalá te mueras, {i}.", "Muérete, {i} {r}.", "Te voy a matar.", "Te voy a partir la cara, {i}.", "Hijo de puta.", "La gente como tú debería estar encerrada.", "Nadie te quiere, {i}.", "Mereces que te peguen, {i}.", "Das asco, {i}."], "repugnante despreciable miserable inútil asqueroso estúpido patético sucio", "idiota imbécil cabrón payaso gusano gilipollas cerdo mentiroso cobarde pendejo basura"),
+        "ita": (["Sei un {i} {r}.", "Stai zitto, {i}.", "Chiudi quella bocca, {i}.", "Vaffanculo, {i}.", "Che {i} {r} che sei.", "Spero che tu muoia, {i}.", "Crepa, {i}.", "Ti ammazzo.", "Ti rompo le ossa, {i}.", "Figlio di puttana.", "Quelli come te vanno rinchiusi.", "Nessuno ti sopporta, {i}.", "Fai schifo, {i}.", "Qualcuno dovrebbe picchiarti, {i}."], "miserabile inutile schifoso patetico ripugnante stupido sporco", "idiota imbecille pagliaccio verme stronzo bastardo cretino coglione maiale bugiardo vigliacco"),
+        "por": (["És um {i} {r}.", "Tu és um {i} {r}.", "Cala-te, {i}.", "Cala a boca, {i} {r}.", "Vai à merda, {i}.", "Vai-te foder, {i}.", "Que {i} {r}.", "Espero que morras, {i}.", "Morre, {i}.", "Vou matar-te.", "Levas um murro na cara, {i}.", "Filho da puta.", "Gente como tu devia estar presa.", "Ninguém gosta de ti, {i}.", "Mereces levar porrada, {i}."], "miserável nojento inútil desprezível estúpido patético porco", "imbecil palhaço idiota verme cabrão otário burro lixo mentiroso covarde"),
+        "rus": (["Ты {r} {i}.", "Заткнись, {i}.", "Закрой рот, {r} {i}.", "Пошёл ты, {i}.", "Иди к чёрту, {r} {i}.", "Какой же ты {r} {i}.", "Сдохни, {i}.", "Чтоб ты умер, {i}.", "Я тебя убью.", "Я тебе голову оторву, {i}.", "Таких, как ты, надо сажать.", "Тебя все ненавидят, {i}.", "Тебя надо избить, {i}.", "Убирайся отсюда, {i}."], "мерзкий жалкий тупой никчёмный поганый грязный глупый подлый", "придурок идиот урод кретин ублюдок дурак подонок мудак скотина тварь лжец трус"),
+        "nld": (["Hou je mond, {r} {i}.", "Jij bent een {r} {i}.", "Rot op, {i}.", "Krijg de kanker, {i}.", "Ga dood, {i}.", "Wat een {r} {i} ben jij.", "Ik maak je dood.", "Ik sla je verrot, {i}.", "Mensen zoals jij horen achter slot."], "zielige walgelijke domme vieze luie", "idioot klootzak sukkel mislukkeling eikel lul varken"),
+        "pol": (["Zamknij mordę, {i}.", "Jesteś {r} {i}.", "Spierdalaj, {i}.", "Zdychaj, {i}.", "Co za {r} {i}.", "Zabiję cię.", "Połamię ci nogi, {i}.", "Tacy jak ty powinni siedzieć."], "żałosny głupi obrzydliwy brudny leniwy", "idiota debil kretyn śmieć dupek gnój kłamca"),
     },
     "hateful": {
-        "deu": (["Die {g} sind Ungeziefer und gehören verjagt.", "Alle {g} stinken und lügen.", "{g} raus aus unserem Land, ihr Ratten."], "", ""),
-        "fra": (["Les {g} sont de la vermine, qu’on les chasse tous.", "Tous les {g} sont des voleurs, dehors."], "", ""),
-        "spa": (["Los {g} son una plaga y hay que echarlos a todos.", "Todos los {g} son ladrones y ratas."], "", ""),
-        "ita": (["I {g} sono parassiti, bisogna cacciarli tutti.", "Tutti i {g} puzzano e rubano."], "", ""),
-        "por": (["Os {g} são uma praga e deviam ser todos expulsos.", "Todos os {g} são ladrões e ratos."], "", ""),
-        "rus": (["Все {g} — паразиты, гнать их надо отсюда.", "{g} не люди, выгнать их всех."], "", ""),
-        "nld": (["De {g} zijn ongedierte en moeten weg."], "", ""),
-        "pol": (["{g} to robactwo, trzeba ich wygnać."], "", ""),
+        "deu": (["Alle {g} sind Ungeziefer.", "{g} raus!", "Die {g} stinken.", "Die {g} sind dreckige Tiere.", "Die {g} klauen und lügen alle.", "Man sollte die {g} vertreiben.", "Jagt die {g} über die Grenze."], "", ""),
+        "fra": (["Les {g}, c’est de la vermine.", "Dehors les {g} !", "Tous les {g} sont des voleurs.", "Les {g} sont sales et menteurs.", "Il faut chasser les {g}.", "Les {g} ne sont pas des humains."], "", ""),
+        "spa": (["Los {g} son una plaga.", "Fuera los {g}.", "Todos los {g} son ladrones.", "Los {g} son animales sucios.", "Hay que expulsar a los {g}.", "Los {g} no son personas."], "", ""),
+        "ita": (["I {g} sono parassiti.", "Fuori i {g}!", "Tutti i {g} rubano.", "I {g} sono animali sporchi.", "Bisogna espellere i {g}.", "I {g} non sono esseri umani."], "", ""),
+        "por": (["Os {g} são uma praga.", "Fora com os {g}.", "Todos os {g} roubam.", "Os {g} são animais sujos.", "É preciso expulsar os {g}.", "Os {g} não são gente."], "", ""),
+        "rus": (["Все {g} паразиты.", "{g} вон отсюда.", "Все {g} воры.", "{g} грязные животные.", "Надо выгнать всех {g}.", "{g} не люди."], "", ""),
+        "nld": (["De {g} zijn ongedierte.", "Alle {g} stelen.", "{g} het land uit."], "", ""),
+        "pol": (["{g} to robactwo.", "Wszyscy {g} kradną.", "Wygnać {g} z kraju."], "", ""),
     },
     "sexual": {
-        "deu": (["Schick mir Nacktfotos von dir, du geile Schlampe.", "Ich will dich nackt ausziehen und die ganze Nacht ficken.", "Geile nackte Frauen haben wilden Sex vor der Kamera.", "Schick mir Bilder, auf denen du nackt bist."], "", ""),
-        "fra": (["Envoie-moi des photos de toi toute nue, salope.", "Je veux te baiser toute la nuit, toute nue.", "Une femme nue veut du sexe sauvage avec toi ce soir."], "", ""),
-        "spa": (["Mándame fotos tuyas desnuda, zorra.", "Quiero follarte desnuda toda la noche.", "Mujeres desnudas quieren sexo salvaje contigo esta noche."], "", ""),
-        "ita": (["Mandami le tue foto nuda, troia.", "Voglio scoparti nuda tutta la notte.", "Donne nude vogliono sesso selvaggio con te stanotte."], "", ""),
-        "por": (["Manda-me fotos tuas nua, safada.", "Quero foder-te nua a noite toda.", "Mulheres nuas querem sexo selvagem contigo esta noite."], "", ""),
-        "rus": (["Пришли мне свои голые фотки, шлюха.", "Хочу раздеть тебя догола и трахать всю ночь.", "Голые женщины хотят жёсткого секса с тобой сегодня."], "", ""),
-        "nld": (["Stuur me naaktfoto's van jezelf, slet.", "Naakte vrouwen willen wilde seks met je vannacht."], "", ""),
-        "pol": (["Wyślij mi swoje nagie zdjęcia, suko.", "Nagie kobiety chcą ostrego seksu z tobą dziś w nocy."], "", ""),
+        "deu": (["Ich will dich ficken.", "Schick mir Nacktfotos.", "Zeig mir deine Titten.", "Geile Frauen wollen Sex.", "Nackte Frauen vor der Kamera, gratis.", "Er fickte sie die ganze Nacht.", "Ich bin so geil auf dich."], "", ""),
+        "fra": (["Je veux te baiser.", "Envoie des photos nue.", "Montre-moi tes seins.", "Femmes nues en direct.", "Il l’a baisée toute la nuit.", "Je suis excité, viens coucher avec moi.", "Sexe sauvage ce soir, gratuit."], "", ""),
+        "spa": (["Quiero follarte.", "Mándame fotos desnuda.", "Enséñame las tetas.", "Mujeres desnudas en vivo.", "La folló toda la noche.", "Estoy cachondo, ven a mi cama.", "Sexo salvaje gratis esta noche."], "", ""),
+        "ita": (["Voglio scoparti.", "Mandami foto nuda.", "Fammi vedere le tette.", "Donne nude dal vivo.", "L’ha scopata tutta la notte.", "Sono eccitato, vieni a letto con me.", "Sesso selvaggio gratis stasera."], "", ""),
+        "por": (["Quero foder-te.", "Manda fotos nua.", "Mostra-me as mamas.", "Mulheres nuas ao vivo.", "Ele fodeu-a a noite inteira.", "Estou com tesão, vem para a cama.", "Sexo selvagem grátis hoje à noite."], "", ""),
+        "rus": (["Хочу тебя трахнуть.", "Пришли голые фото.", "Покажи сиськи.", "Голые женщины в прямом эфире.", "Он трахал её всю ночь.", "Секс сегодня ночью бесплатно."], "", ""),
+        "nld": (["Ik wil je neuken.", "Stuur naaktfoto's.", "Naakte vrouwen live."], "", ""),
+        "pol": (["Chcę cię przelecieć.", "Wyślij nagie zdjęcia.", "Nagie kobiety na żywo."], "", ""),
     },
     "none": {
-        "deu": (["Diese blöde Platte hat mich die ganze Nacht gekostet.", "Ich Idiot habe das Abbild überschrieben.", "Der Techniker tötet den toten Prozess.", "Beleidigungen und Drohungen sind hier verboten.", "Die Sicherung zählt das Protokoll wie im Handbuch beschrieben."], "", ""),
-        "fra": (["Ce fichu disque m’a coûté toute la nuit.", "Quel idiot je suis, j’ai effacé ma propre image.", "Les insultes et les menaces sont interdites ici.", "Le client a réparé deux vieilles archives."], "", ""),
-        "spa": (["Este maldito disco me costó toda la noche.", "Qué idiota soy, borré mi propia imagen.", "Los insultos y las amenazas están prohibidos aquí.", "El cliente borró el informe de la sesión."], "", ""),
-        "ita": (["Questo stupido disco mi è costato la notte.", "Che idiota sono, ho cancellato la mia immagine.", "Insulti e minacce sono vietati qui."], "", ""),
-        "por": (["Este maldito disco custou-me a noite toda.", "Que idiota sou, apaguei a minha própria imagem.", "Insultos e ameaças são proibidos aqui."], "", ""),
-        "rus": (["Этот проклятый диск стоил мне всей ночи.", "Какой я дурак, стёр собственный образ.", "Оскорбления и угрозы здесь запрещены.", "Никто здесь не копирует два старых архива."], "", ""),
+        "deu": (["Diese blöde Platte.", "Ich Idiot habe das Backup vergessen.", "Der Prozess ist tot.", "Beleidigungen sind hier verboten.", "Das verdammte Laufwerk spinnt wieder.", "Ich bin so dumm.", "Dummer Fehler von mir."], "", ""),
+        "fra": (["Ce fichu câble.", "Quel idiot je suis.", "Le processus est mort.", "Les insultes sont interdites.", "Ce maudit disque est encore tombé en panne.", "Je suis bête, désolé."], "", ""),
+        "spa": (["Este maldito cable.", "Qué tonto soy.", "El proceso está muerto.", "Los insultos están prohibidos.", "Odio este disco.", "Soy un idiota, olvidé la copia."], "", ""),
+        "ita": (["Questo maledetto cavo.", "Che stupido sono.", "Il processo è morto.", "Gli insulti sono vietati.", "Odio questo disco.", "Sono un idiota, scusate."], "", ""),
+        "por": (["Este maldito cabo.", "Que burro sou.", "O processo está morto.", "Os insultos são proibidos.", "Odeio este disco.", "Sou um idiota, desculpem."], "", ""),
+        "rus": (["Этот проклятый кабель.", "Какой я дурак.", "Процесс умер.", "Оскорбления запрещены.", "Ненавижу этот диск.", "Я идиот, забыл копию."], "", ""),
+        "nld": (["Die rotkabel.", "Wat ben ik dom.", "Het proces is dood."], "", ""), "pol": (["Ten głupi kabel.", "Ale jestem głupi.", "Proces jest martwy."], "", ""),
     },
-}
+}
 CATEGORIES = ["abusive", "hateful", "sexual"]
 
 
 def sentences(n: int, seed: int = 5) -> list[tuple[str, str]]:
     """``(sentence, category)`` with ``none`` for the harmless ones."""
     r = random.Random(seed)
+    product = [f"{r.choice(STEMS)}{r.choice(['ix', 'on', 'tek', 'ara', 'um'])} {r.choice(THINGS)} {r.randint(1, 900)}" for _ in range(60)]
     slots = {
-        "r": RUDE, "i": INSULT, "g": GROUP, "a": ANIMAL, "w": ACTOR, "t": ACT, "l": PLACE, "m": BRAND, "st": STATE, "v": DEVICE,
-        "b": ["fingers", "legs", "nose", "neck", "arms"], "k": ["wife", "husband", "boss", "mother", "father"], "h": ["hurt", "beat", "kill", "stab", "punch", "shoot"], "hh": ["beaten", "hanged", "shot", "locked up", "put down"],
-        "d": ["leave this earth soon", "be forgotten by everyone", "choke on your own advice", "disappear", "die alone", "rot in hell", "spare the rest of us", "jump off a bridge"],
-        "p": ["People", "Types", "Creatures", "Amateurs", "Losers", "Animals", "Clowns", "Women", "Men"], "s": ["never have children", "stay under their rock", "not be let near a keyboard", "be put down quietly", "be kept in a cage", "stop breathing"],
-        "o": ["on the way home", "next week", "in the parking lot", "tonight", "at the station"],
-        "x": ["drive out", "burn down the houses of", "spit on", "get rid of", "lock up", "hang", "wipe out"],
+        "r": RUDE, "i": INSULT, "g": GROUP, "a": ANIMAL, "w": ACTOR, "t": ACT, "l": PLACE, "m": product, "st": STATE, "v": DEVICE,
+        "b": ["fingers", "legs", "nose", "neck", "arms", "skull", "knees"], "k": ["wife", "husband", "boss", "mother", "father", "family", "children"], "k2": ["son", "daughter", "dog", "student"], "h": ["hurt", "beat", "kill", "stab", "punch", "shoot", "hit", "slap", "strangle"], "hh": ["beaten", "hanged", "shot", "locked up", "fired", "punched", "slapped", "kicked", "killed", "jailed"],
+        "d": ["disappear", "die alone", "rot in hell", "jump off a bridge", "choke", "go away forever", "hang yourself", "leave", "drown"], "l2": ["live", "breathe", "eat", "be here", "own a computer", "speak"],
+        "p": ["People", "Types", "Amateurs", "Losers", "Animals", "Clowns", "Women", "Men", "Guys", "Monsters"], "s": ["be locked away", "not breed", "be banned from life", "stop breathing", "be beaten daily", "never touch a computer", "rot in prison", "die"],
+        "x": ["drive out", "spit on", "get rid of", "lock up", "hang", "wipe out", "exterminate", "shoot", "burn", "deport"],
     }
 
     def fill(text: str, extra: dict) -> str:
@@ -119,6 +119,8 @@ def sentences(n: int, seed: int = 5) -> list[tuple[str, str]]:
         if r.random() < 0.62:
             # every frame comes about equally often
             text, extra = english[kind][k % len(english[kind])] if r.random() < 0.5 else r.choice(english[kind]), {}
+        elif kind == "none" and r.random() < 0.5:
+            text, extra = sentence(r, r.choice(sorted(PARTS))) + ".", {}
         else:
             frames, rude, insult = FOREIGN[kind][r.choice(sorted(FOREIGN[kind]))]
             text, extra = r.choice(frames), {"r": rude.split(), "i": insult.split()}

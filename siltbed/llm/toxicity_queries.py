@@ -12,8 +12,7 @@ from siltbed.sources.tables import table
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     labels = table(spark, sf_dir, "abuse_labels", "doc_id", "label")
-    model = toxicity.fit(sorted({(r[0] or "", r[1]) for r in toxicity.labelled_documents(docs, labels).collect()}))
-    return toxicity.score_documents(docs, "text", model).drop("text")
+    return toxicity.score_documents(docs, "text", toxicity.fit_tables(docs, labels)).drop("text")
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,19 @@ def test_long_text_in_windows():
     assert [(text[a:b], k) for a, b, k in spans] == [("anna.berg@mail.example", "EMAIL")]
 
 
+def test_skipped_decoding_is_exact():
+    ex = Examples(77)
+    texts = [t for t, _ in (ex.example() for _ in range(300)) if t]
+    p = pii.model()
+    for rows, em in pii._scores(p, [M.encode(t) for t in texts]):
+        none = (M.viterbi(p, em) == 0).all(1)
+        assert not (M.plainly_outside(p, em) & ~none).any()
+        assert M.plainly_outside(p, em).sum() >= 0.5 * none.sum() or none.sum() < 5
+    ids = np.array([M.encode("please call 555-0199 now")])
+    raw = {k: v for k, v in p.items() if k not in ("inputs", "gates")}
+    assert np.allclose(M.emissions(p, ids), M._lstm(raw, ids, False)[0] @ p["Wo"] + p["bo"], atol=1e-3)
+
+
 def test_number_rules():
     assert pii.holds("ID_NUMBER", "4111 1111 1111 1111") and not pii.holds("ID_NUMBER", "4111 1111 1111 1112")
     assert pii.holds("ID_NUMBER", "GB82 WEST 1234 5698 7654 32") and not pii.holds("ID_NUMBER", "GB00WEST12345698765432")

@@ -1,8 +1,11 @@
 """The classifier chain on held-out sentences, spelling tricks and documents."""
 
+import random
+
 import pytest
 
 from siltbed.llm import toxicity
+from siltbed.llm.seed_texts import sentence
 from siltbed.llm.toxicity_examples import sentences
 
 
@@ -33,6 +36,16 @@ def test_one_sentence_in_a_long_text(model):
     assert model.score([long]).max() < toxicity.THRESHOLD
 
 
+def test_implicit_abuse_is_learnt_from_labels_despite_wrong_ones():
+    r = random.Random(3)
+    plain = lambda: " ".join(sentence(r, r.choice(["eng", "deu"])) + "." for _ in range(3))
+    hidden = "Pack your bags before Sunday or you will regret it."
+    rows = [(plain(), "none") for _ in range(150)] + [(plain() + " " + hidden, "abusive") for _ in range(6)] + [(plain(), "abusive") for _ in range(2)]
+    m = toxicity.fit(rows, [plain() for _ in range(300)])
+    assert m.score([plain() + " " + hidden]).max() >= toxicity.THRESHOLD
+    assert (m.score([plain() for _ in range(60)]).max(1) < toxicity.THRESHOLD).mean() > 0.97
+
+
 def test_rows(spark, model):
     df = spark.createDataFrame([(1, "You pathetic loser, nobody asked you.", "c"), (2, None, "c"), (3, "", "c")], "doc_id long, text string, other string")
     got = {r.doc_id: r.score for r in toxicity.score_documents(df, "text", model).collect()}
