@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from siltbed.llm import tagger as M
 from siltbed.llm.seed_texts import seeds
 
-WINDOW, OVERLAP, BATCH = 128, 48, 256
+WINDOW, OVERLAP, BATCH, PAD = 128, 48, 256, 2
 MODEL = os.path.join(os.path.dirname(__file__), "models", "pii_tagger.npz")
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 #: Numbers in groups like those of a card, and lengths with first digits that card issuers have.
@@ -58,29 +58,37 @@ def common_words() -> frozenset[str]:
 
 def _scores(p: dict, texts: list[list[int]]) -> Iterator[tuple[list[int], np.ndarray]]:
     """Indices of texts and their emissions, in batches of like length; long texts from windows."""
-    short = sorted((i for i, t in enumerate(texts) if 0 < len(t) <= WINDOW), key=lambda i: len(texts[i]))
-    for k in range(0, len(short), BATCH):
-        rows = short[k : k + BATCH]
-        ids = np.zeros((len(rows), len(texts[rows[-1]]) + 4), np.int64)
+    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
+    n_short = sum(len(texts[i]) <= WINDOW for i in order)
+    for k in range(0, n_short, BATCH):
+        rows = order[k : min(k + BATCH, n_short)]
+        ids = np.zeros((len(rows), len(texts[rows[-1]]) + PAD), np.int64)
         for j, i in enumerate(rows):
             ids[j, : len(texts[i])] = texts[i]
         yield rows, M.emissions(p, ids)
     hat = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
-    for i in (i for i, t in enumerate(texts) if len(t) > WINDOW):
-        text = texts[i]
-        starts = list(range(0, len(text) - OVERLAP, WINDOW - OVERLAP))
-        total, weight = np.zeros((len(text), M.N_TAGS), np.float32), np.zeros((len(text), 1), np.float32)
-        for k in range(0, len(starts), BATCH):
-            part = starts[k : k + BATCH]
-            ids = np.zeros((len(part), WINDOW + 4), np.int64)
-            for j, s in enumerate(part):
-                ids[j, : len(text[s : s + WINDOW])] = text[s : s + WINDOW]
+    at = n_short
+    while at < len(order):
+        # texts of like length whose windows fill a batch
+        rows = order[at : at + max(1, BATCH * (WINDOW - OVERLAP) // len(texts[order[at]]))]
+        at += len(rows)
+        longest = len(texts[rows[-1]])
+        total, weight = np.zeros((len(rows), longest + PAD, M.N_TAGS), np.float32), np.zeros((len(rows), longest + PAD, 1), np.float32)
+        places = [(j, s) for j, i in enumerate(rows) for s in range(0, len(texts[i]) - OVERLAP, WINDOW - OVERLAP)]
+        for k in range(0, len(places), BATCH):
+            part = places[k : k + BATCH]
+            ids = np.zeros((len(part), WINDOW + PAD), np.int64)
+            for r, (j, s) in enumerate(part):
+                window = texts[rows[j]][s : s + WINDOW]
+                ids[r, : len(window)] = window
             em = M.emissions(p, ids)
-            for j, s in enumerate(part):
-                n = len(text[s : s + WINDOW])
-                total[s : s + n] += em[j, :n] * hat[:n]
-                weight[s : s + n] += hat[:n]
-        yield [i], (total / weight)[None]
+            for r, (j, s) in enumerate(part):
+                n = min(WINDOW, len(texts[rows[j]]) - s)
+                total[j, s : s + n] += em[r, :n] * hat[:n]
+                weight[j, s : s + n] += hat[:n]
+        total /= np.maximum(weight, 1e-6)
+        total[..., 0] += 1e3 * (weight[..., 0] == 0)  # nothing behind the end
+        yield rows, total
 
 
 def _luhn(digits: str) -> bool:

@@ -100,7 +100,9 @@ def decoder(p: dict) -> dict[str, np.ndarray]:
     half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
     by_gate = lambda x: x.reshape(-1, 4, HIDDEN).transpose(1, 0, 2) * half
     inputs = np.stack([by_gate(p["E"] @ p["Wx"][d] + p["b"][d]) for d in (0, 1)])
-    return p | {"inputs": np.ascontiguousarray(inputs, np.float32), "gates": np.ascontiguousarray([by_gate(p["Wh"][d]) for d in (0, 1)], np.float32)}
+    # states are kept at twice their value, so that no gate is halved
+    gates = np.stack([by_gate(p["Wh"][d]) for d in (0, 1)]) * 0.5
+    return p | {"inputs": np.ascontiguousarray(inputs, np.float32), "gates": np.ascontiguousarray(gates, np.float32), "out": p["Wo"] * 0.5}
 
 
 def emissions(p: dict, ids: np.ndarray) -> np.ndarray:
@@ -117,12 +119,12 @@ def emissions(p: dict, ids: np.ndarray) -> np.ndarray:
         g += x
         np.tanh(g, out=g)
         g[:, :3] += 1
-        g[:, :3] *= 0.5
         c *= g[:, 1]
         c += np.multiply(g[:, 0], g[:, 3], out=part)
+        c *= 0.5
         np.multiply(g[:, 2], np.tanh(c, out=part), out=hs[k + 1])
     both = np.concatenate([hs[1:, 0], hs[:0:-1, 1]], axis=2)
-    return np.ascontiguousarray((both @ p["Wo"] + p["bo"]).transpose(1, 0, 2))
+    return np.ascontiguousarray((both @ p["out"] + p["bo"]).transpose(1, 0, 2))
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
