@@ -1,11 +1,9 @@
-"""Evaluation texts inside documents: seeds of four words, then Smith-Waterman alignment of the words.
+"""Evaluation texts inside documents: rare seeds of four words joined, then Smith-Waterman alignment.
 
-A passage counts from ten consecutive words of an item on, of which one in ten may differ. Such a
-window always shares three seeds with the document, so pairs with fewer are left out without
-loss, however often a seed occurs. The alignment then judges whole documents.
-
-The items are broadcast only up to :data:`BROADCAST_SEEDS` seeds; a larger test set joins through a
-shuffle on the seeds instead, with the same outcome.
+A passage counts from ten consecutive words of an item on, of which one in ten may differ. Each such
+window is looked for by the two of its seeds that are rarest in the documents and so far apart that one
+difference can't spoil both, so nothing is lost however often the others occur. Alignment then judges
+the passages around the joined seeds.
 
 Defined results: null and empty texts match nothing; a text is read whole whatever its length; a
 document found several times under one id is one document.
@@ -16,19 +14,25 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEED, MIN_SEEDS, WINDOW, MAX_DIFFERENT = 4, 3, 10, 1
+from siltbed.plans.lineage import cut
+
+SEED, WINDOW, MAX_DIFFERENT = 4, 10, 1
 MATCH, MISMATCH, GAP = 2, -1, -1
 BROADCAST_SEEDS = 1_000_000
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+#: Words of a document in which the begin of an item is one place.
+BLOCK = 64
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt\"'/\\]|%([2][0-9A-Fa-f])")
 _LINE = re.compile(r"^[ \t]*(?:(?:[>|*#-]+|\d{1,4}[.)]|//+)[ \t]+|>+)+", re.M)
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
@@ -55,27 +59,34 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_LINE.sub("", text).lower())
 
 
-class Items:
-    """Test items with the places of their seeds, by row: an ``item_id`` may have several texts."""
+def seed_hashes(parts: list[list[str]]) -> list[np.ndarray]:
+    """A 64-bit value for every :data:`SEED` words in a row of each text; equal seeds have equal values."""
+    flat = np.array([_word_hash(w) for p in parts for w in p], np.uint64)
+    rolled = np.zeros(max(0, len(flat) - SEED + 1), np.uint64)
+    for k in range(SEED):
+        rolled = rolled * _MIX + flat[k : len(flat) - SEED + 1 + k]
+    ends = np.cumsum([len(p) for p in parts])
+    return [rolled[e - len(p) : e - SEED + 1].view(np.int64) if len(p) >= SEED else np.zeros(0, np.int64) for p, e in zip(parts, ends)]
+
+
+@lru_cache(maxsize=200_000)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.ids = [i for i, _ in rows]
-        self.words = {k: words(t) for k, (_, t) in enumerate(rows)}
-        self.seeds: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        for i, w in self.words.items():
-            for k in range(len(w) - SEED + 1):
-                self.seeds[tuple(w[k : k + SEED])].append((i, k))
+def rare_places(counts: np.ndarray) -> list[int]:
+    """Places of the seeds to look for, given how often each seed of an item occurs in the documents.
 
-    def candidates(self, doc: list[str]) -> list[int]:
-        """Rows of items that share at least :data:`MIN_SEEDS` seeds."""
-        hits: Counter[int] = Counter()
-        seen = set()
-        for k in range(len(doc) - SEED + 1):
-            for place in self.seeds.get(tuple(doc[k : k + SEED]), ()):
-                if place not in seen:
-                    seen.add(place)
-                    hits[place[0]] += 1
-        return sorted(i for i, n in hits.items() if n >= MIN_SEEDS)
+    One differing word spoils at most :data:`SEED` neighbouring seeds. So of any two seeds of a window that are
+    at least that far apart one survives, and the pair that occurs least stands for the window.
+    """
+    last = WINDOW - SEED
+    pairs = [(i, j) for i in range(last + 1) for j in range(i + SEED, last + 1)]
+    chosen = set()
+    for start in range(len(counts) - last):
+        i, j = min(pairs, key=lambda p: (counts[start + p[0]] + counts[start + p[1]], p))
+        chosen |= {start + i, start + j}
+    return sorted(chosen)
 
 
 def _align(doc: np.ndarray, item: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
@@ -135,60 +146,60 @@ def compare(doc: list[str], item: list[str]) -> int:
         dc[path[0][1] : path[-1][1] + 1] = -2  # another passage may be elsewhere
 
 
-FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("share", T.DoubleType())]))
-
-
-def _leaks_broadcast(docs: DataFrame, items: Items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    @F.pandas_udf(FOUND)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = shared.value
-        for s in batches:
-            out = []
-            for text in s:
-                doc, rows = words(text), []
-                for i in known.candidates(doc):
-                    if n := compare(doc, known.words[i]):
-                        rows.append((known.ids[i], n, round(n / len(known.words[i]), 4)))
-                out.append(rows)
-            yield pd.Series(out)
-
-    return docs.select("doc_id", F.explode(find.asNondeterministic()("text")).alias("f")).select("doc_id", "f.*").distinct()
+def passages(blocks: list[int], n_item: int, n_doc: int) -> list[tuple[int, int]]:
+    """Stretches of a document to align: around the blocks in which the item would begin, neighbours joined."""
+    slack = n_item // (WINDOW // MAX_DIFFERENT) + WINDOW
+    out: list[tuple[int, int]] = []
+    for b in sorted(blocks):
+        a, z = max(0, b * BLOCK - slack), min(n_doc, (b + 1) * BLOCK + n_item + slack)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], z)
+        elif a < z:
+            out.append((a, z))
+    return out
 
 
-def _leaks_shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same through joins on seeds, for test sets of any size."""
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _seeds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield pd.Series(seed_hashes([words(t) for t in s]))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(words)
 
-    @F.pandas_udf(T.IntegerType())
-    def judge(doc: pd.Series, item: pd.Series) -> pd.Series:
-        return pd.Series([compare(list(d), list(i)) for d, i in zip(doc, item)], dtype="int32")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _rare(counts: pd.Series) -> pd.Series:
+    return counts.map(lambda c: rare_places(np.asarray(c)))
 
-    def seeds(df: DataFrame) -> DataFrame:
-        places = F.expr(f"transform(sequence(1, size(w) - {SEED - 1}), k -> struct(k, xxhash64(slice(w, k, {SEED})) AS h))")
-        return df.where(F.size("w") >= SEED).select(df.columns[0], F.explode(places).alias("p"), "w").select(df.columns[0], "p.k", "p.h")
 
-    d = docs.select("doc_id", "text").distinct().select("doc_id", split("text").alias("w"))
-    i = items.select("item_id", "text").distinct().select("item_id", split("text").alias("w"))
-    places = seeds(i)
-    pairs = (
-        seeds(d).select("doc_id", "h").distinct().join(places, "h").groupBy("doc_id", "item_id")
-        .agg(F.count_distinct("k").alias("n")).where(F.col("n") >= MIN_SEEDS).select("doc_id", "item_id")
-    )
-    joined = pairs.join(d, "doc_id").join(i.select("item_id", F.col("w").alias("iw")), "item_id")
-    judged = joined.select("doc_id", "item_id", judge("w", "iw").alias("n_words"), F.size("iw").alias("n"))
-    return judged.where("n_words > 0").select("doc_id", "item_id", "n_words", F.round(F.col("n_words") / F.col("n"), 4).alias("share")).distinct()
+@F.pandas_udf(T.StructType([T.StructField("n_words", T.IntegerType()), T.StructField("n_item", T.IntegerType())]))
+def _judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, items, blocks in batches:
+        rows, last, doc = [], None, []
+        for text, item, b in zip(texts, items, blocks):
+            if text != last:
+                doc, last = words(text), text
+            it = words(item)
+            rows.append((max([compare(doc[a:z], it) for a, z in passages(list(b), len(it), len(doc))], default=0), len(it)))
+        yield pd.DataFrame(rows, columns=["n_words", "n_item"])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """``doc_id, item_id, n_words, share``: documents with the items they leak, and how much of them."""
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    n_seeds = items.agg(F.sum(F.length("text"))).first()[0] or 0  # no more seeds than characters
-    if n_seeds > broadcast_seeds:
-        return _leaks_shuffled(docs, items)
-    return _leaks_broadcast(docs, Items([(r[0], r[1]) for r in items.distinct().collect()]))
+    """``doc_id, item_id, n_words, share``: documents with the items they leak, and how much of them.
+
+    Seeds of the documents are kept where any item has them and counted; each window of an item is then
+    looked for by its rarest seeds only, and alignment sees just the passages around what was found.
+    """
+    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.col("text").alias("item")).distinct().withColumn("item_key", F.xxhash64("item"))
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").distinct().withColumn("text_key", F.xxhash64("text"))
+    asked = cut(items.select("item_id", "item_key", F.posexplode(_seeds.asNondeterministic()("item")).alias("k", "seed")))
+    wanted = asked.select("seed").distinct()
+    few = wanted.count() <= broadcast_seeds  # eight bytes each; more of them are joined through a shuffle
+    places = docs.select("doc_id", "text_key", F.posexplode(_seeds.asNondeterministic()("text")).alias("at", "seed"))
+    places = cut(places.join(F.broadcast(wanted) if few else wanted, "seed", "left_semi"))
+    often = places.groupBy("seed").agg(F.count("*").alias("n"))
+    per_item = asked.join(often, "seed", "left").groupBy("item_id", "item_key").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), "seed"))).alias("s"))
+    rare = per_item.select("item_id", "item_key", F.posexplode("s").alias("i", "p"), _rare.asNondeterministic()("s.n").alias("places")).where(F.array_contains("places", F.col("i")))
+    rare = rare.select("item_id", "item_key", "p.k", "p.seed")
+    found = places.join(rare, "seed").select("doc_id", "text_key", "item_id", "item_key", F.floor((F.col("at") - F.col("k")) / BLOCK).cast("int").alias("block"))
+    pairs = found.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.collect_set("block").alias("blocks"))
+    judged = pairs.join(docs, ["doc_id", "text_key"]).join(items, ["item_id", "item_key"]).select("doc_id", "item_id", _judge.asNondeterministic()("text", "item", "blocks").alias("j"))
+    return judged.where("j.n_words > 0").select("doc_id", "item_id", "j.n_words", F.round(F.col("j.n_words") / F.col("j.n_item"), 4).alias("share")).distinct()

@@ -51,7 +51,7 @@ _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])")
 _SENTENCE = re.compile(r"(?<=[.!?…;])\s+|\n+|\\n")
 _LINE_MARK = re.compile(r"^\s*(?:<[^<>\s]{1,8}>|\d+[.)]|[>|*#-]+)\s+", re.M)
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _WORD = re.compile(r"[^\W_]+(?:\*+[^\W_]+)*(?:['’][^\W\d_]+)?")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

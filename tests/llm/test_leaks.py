@@ -1,7 +1,9 @@
-"""Leaks against an exact search for ten words with one difference; both ways of joining agree."""
+"""Leaks against an exact search for ten words with one difference, rare seeds, both ways of joining."""
 
 import random
 
+import numpy as np
+
 from siltbed.llm import leaks
 
 WORDS = "spool ledger archive magnet bundle carton ribbon platter header cluster remote amber rusted hollow early north depot clerk weighs rewinds each after its turns".split()
@@ -40,11 +42,32 @@ def corpus(seed):
 def test_alignment_is_exact():
     for seed in range(4):
         docs, items = corpus(seed)
-        known = leaks.Items(items)
         for _, text in docs:
             doc = leaks.words(text)
-            found = {i for i in known.candidates(doc) if leaks.compare(doc, known.words[i])}
-            assert found == {i for i, w in known.words.items() if exact(doc, w)}
+            found = {i for i, t in items if leaks.compare(doc, leaks.words(t))}
+            assert found == {i for i, t in items if exact(doc, leaks.words(t))}
+
+
+def test_rare_seeds_miss_no_window():
+    r = random.Random(2)
+    for n in (10, 11, 25):
+        counts = [r.choice([0, 1, 50, 10**9]) for _ in range(n - leaks.SEED + 1)]
+        chosen = leaks.rare_places(np.array(counts))
+        for start in range(n - leaks.WINDOW + 1):
+            for wrong in range(start, start + leaks.WINDOW):
+                alive = [k for k in range(start, start + leaks.WINDOW - leaks.SEED + 1) if not k <= wrong < k + leaks.SEED]
+                assert set(alive) & set(chosen)
+    assert leaks.rare_places(np.array([10**9, 3, 3, 3, 3, 3, 3])) == [1, 5]
+    assert leaks.rare_places(np.array([1, 1])) == []
+
+
+def test_rows_are_exact(spark):
+    docs, items = corpus(21)
+    filler = "carton ribbon after its " * 200
+    docs += [(1000 + k, filler + t + " " + filler) for k, t in docs[:20]]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, j) for k, text in docs for j, t in items if exact(leaks.words(text), leaks.words(t))}
+    assert {(r[0], r[1]) for r in leaks.find_leaks(d, i).collect()} == want
 
 
 def test_markup_and_escapes():
