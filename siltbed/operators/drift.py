@@ -23,13 +23,13 @@ from datetime import datetime, timezone
 from decimal import Decimal, InvalidOperation
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltbed.plans.lineage import cut
 
-SCHEMA = "file_id bigint, line_no int, path string, type string, value string"
+SCHEMA = "file_id bigint, line_no int, path string, type string, value string, raw string"
 #: The path under which every usable line is counted.
 LINE = ""
 STATUS = "status"
@@ -50,39 +50,46 @@ def _plain_number(text: str) -> str:
         return text
 
 
-def _canonical(value: object) -> tuple[str, str]:
-    """Type and canonical value; a number is the same in any notation, as text too."""
+def _canonical(value: object) -> tuple[str, str, str]:
+    """Type, canonical value (a number is the same in any notation, as text too) and the value as written."""
     if isinstance(value, bool):
-        return "boolean", "true" if value else "false"
+        text = "true" if value else "false"
+        return "boolean", text, text
     if isinstance(value, _Literal):
-        return ("number" if any(c in value for c in ".eE") else "integer"), _plain_number(value)
+        return ("number" if any(c in value for c in ".eE") else "integer"), _plain_number(value), str(value)
     if isinstance(value, str):
-        text = value.strip()
-        if _HEX.fullmatch(text):
-            return "string", str(int(text, 16))
-        if len(text) < 60 and _NUMBER.fullmatch(text):
-            return "string", _plain_number(text)
-        if _INSTANT.fullmatch(text):
-            try:
-                return "string", str(int(datetime.fromisoformat(text.rstrip("Z")).replace(tzinfo=timezone.utc).timestamp()))
-            except ValueError:
-                return "string", value
-        return "string", text.lower() if text.lower() in ("true", "false") else value
-    return "array", json.dumps(value, separators=(",", ":"), sort_keys=True)
+        return "string", _plain_text(value), value
+    text = json.dumps(value, separators=(",", ":"), sort_keys=True)
+    return "array", text, text
+
+
+def _plain_text(value: str) -> str:
+    text = value.strip()
+    if _HEX.fullmatch(text):
+        return str(int(text, 16))
+    if len(text) < 60 and _NUMBER.fullmatch(text):
+        return _plain_number(text)
+    if _INSTANT.fullmatch(text):
+        try:
+            return str(int(datetime.fromisoformat(text.rstrip("Z")).replace(tzinfo=timezone.utc).timestamp()))
+        except ValueError:
+            return value
+    return text.lower() if text.lower() in ("true", "false") else value
 
 
 def _variant(value: dict) -> bool:
     return len(value) == 1 and next(iter(value))[:1].isupper()
 
 
-def _walk(node: dict, prefix: str) -> Iterator[tuple[str, str, str]]:
+def _walk(node: dict, prefix: str) -> Iterator[tuple[str, str, str, str]]:
     for key, value in node.items():
         path = f"{prefix}.{key}" if prefix else key
         if value is None:
             continue
         if isinstance(value, dict):
             if _variant(value) or path == STATUS:
-                yield path, "variant", json.dumps(value, separators=(",", ":"), sort_keys=True)
+                text = json.dumps(value, separators=(",", ":"), sort_keys=True)
+                yield path, "variant", text, text
             else:
                 yield from _walk(value, path)
         else:
@@ -92,7 +99,7 @@ def _walk(node: dict, prefix: str) -> Iterator[tuple[str, str, str]]:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     decoder = json.JSONDecoder(parse_int=_Literal, parse_float=_Literal)
     for batch in batches:
-        files, numbers, paths, types, values = [], [], [], [], []
+        files, numbers, paths, types, values, raws = [], [], [], [], [], []
         for f, n, line in zip(batch["file_id"].to_pylist(), batch["line_no"].to_pylist(), batch["line"].to_pylist()):
             try:
                 node = decoder.decode(line.strip())
@@ -100,21 +107,25 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if not isinstance(node, dict):
                 continue
-            rows = [(LINE, "line", None), *_walk(node, "")]
+            rows = [(LINE, "line", None, None), *_walk(node, "")]
             files += [f] * len(rows)
             numbers += [n] * len(rows)
-            for path, kind, value in rows:
+            for path, kind, value, raw in rows:
                 paths.append(path)
                 types.append(kind)
                 values.append(value)
+                raws.append(raw)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(files, pa.int64()), pa.array(numbers, pa.int32()), pa.array(paths, pa.string()), pa.array(types, pa.string()), pa.array(values, pa.string())],
-            names=["file_id", "line_no", "path", "type", "value"],
+            [pa.array(files, pa.int64()), pa.array(numbers, pa.int32()), pa.array(paths, pa.string()), pa.array(types, pa.string()), pa.array(values, pa.string()), pa.array(raws, pa.string())],
+            names=["file_id", "line_no", "path", "type", "value", "raw"],
         )
 
 
 def path_values(lines: DataFrame) -> DataFrame:
-    """``file_id, line_no, path, type, value`` of ``file_id, line_no, line``; a line itself has the path ``''``."""
+    """``file_id, line_no, path, type, value, raw`` of ``file_id, line_no, line``; a line itself has the path ``''``.
+
+    ``raw`` is the value as written, ``value`` its canonical form, by which values are compared.
+    """
     usable = lines.select("file_id", "line_no", "line").where("file_id IS NOT NULL AND line_no IS NOT NULL AND line IS NOT NULL")
     return usable.distinct().mapInArrow(_parse, SCHEMA)
 
@@ -217,6 +228,8 @@ def changes(values: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of the consistent table at most; the other paths stay in its last column.
+MAX_COLUMNS = 200
 #: SQL types of the consistent table by the usual type of a field.
 SQL_TYPES = {"integer": "bigint", "number": "double", "boolean": "boolean", "string": "string", "array": "string", "variant": "string"}
 
@@ -240,22 +253,53 @@ def field_groups(changed: DataFrame) -> dict[str, str]:
     return {x: min(group, key=lambda g: (g.count("."), len(g), g)) for group in names.values() for x in group}
 
 
-def unified(values: DataFrame, groups: dict[str, str]) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Rows ``file_id, line_no, field, value`` under the common names, and each field with its SQL type."""
+def usual_fields(values: DataFrame, groups: dict[str, str]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Rows with ``field``, the common name of their path, and the fields that get a column, with SQL types.
+
+    A field gets a column where it is a usual field of some file, the :data:`MAX_COLUMNS` of most values
+    first; names that come up now and then, such as data used as keys, don't widen the table.
+    """
     mapping = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv]) if groups else None
     name = F.coalesce(mapping[F.col("path")], F.col("path")) if mapping is not None else F.col("path")
-    rows = values.where(F.col("path") != LINE).select("file_id", "line_no", name.alias("field"), "type", "value")
-    usual = rows.groupBy("field", "type").agg(F.count("*").alias("n")).groupBy("field").agg(F.max(F.struct("n", "type")).alias("b"), F.max(F.col("type") == "variant").alias("v")).select("field", F.when(F.col("v"), F.lit("variant")).otherwise(F.col("b.type")).alias("type")).collect()
-    return rows, sorted((r["field"], SQL_TYPES[r["type"]]) for r in usual)
+    rows = values.where(F.col("path") != LINE).withColumn("field", name)
+    usual = file_fields(values).select(name.alias("field")).distinct()
+    counted = rows.groupBy("field", "type").agg(F.count("*").alias("n")).groupBy("field").agg(F.sum("n").alias("n"), F.max(F.struct("n", "type")).alias("b"), F.max(F.col("type") == "variant").alias("v"))
+    kept = counted.join(usual, "field", "left_semi").select("field", F.when(F.col("v"), F.lit("variant")).otherwise(F.col("b.type")).alias("type"), "n")
+    top = kept.orderBy(F.desc("n"), "field").limit(MAX_COLUMNS).collect()
+    return rows, sorted((r["field"], SQL_TYPES[r["type"]]) for r in top)
 
 
 def consistent_table(values: DataFrame, groups: dict[str, str]) -> DataFrame:
-    """One typed row per line: ``file_id, line_no``, a column per field (dots as ``__``) and ``failed_casts``."""
-    rows, fields = unified(values, groups)
+    """One typed row per line: ``file_id, line_no``, a column per usual field (dots as ``__``) and reports.
+
+    A column is cast from the value as written or, where that fails, from its canonical form.
+    ``failed_casts`` names the fields where neither fits, ``normalised`` those where only the second does,
+    ``clashes`` those that a line holds under several names with different values (the common name wins, then
+    the last one in order). ``rest`` has the paths without a column, with values as written; so no value is lost.
+    """
+    rows, fields = usual_fields(values, groups)
     column = lambda f: f.replace(".", "__")
-    if not fields:
-        return rows.select("file_id", "line_no", F.array().cast("array<string>").alias("failed_casts"))
-    wide = rows.groupBy("file_id", "line_no").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(column(f)) for f, _ in fields])
-    typed = [F.col(f"`{column(f)}`").try_cast(t).alias(column(f)) for f, t in fields]
-    failed = F.array_compact(F.array(*[F.when(F.col(f"`{column(f)}`").isNotNull() & F.col(f"`{column(f)}`").try_cast(t).isNull(), F.lit(column(f))) for f, t in fields]))
-    return wide.select("file_id", "line_no", *typed, failed.alias("failed_casts"))
+    best, least, most = [], [], []
+    for k, (f, _) in enumerate(fields):
+        mine = F.col("field") == f
+        best.append(F.max(F.when(mine, F.struct(F.col("path") == f, "path", "value", "raw"))).alias(f"b{k}"))
+        least.append(F.min(F.when(mine, F.col("value"))).alias(f"l{k}"))
+        most.append(F.max(F.when(mine, F.col("value"))).alias(f"m{k}"))
+    other = F.col("field").isin([f for f, _ in fields]) if fields else F.lit(False)
+    rest = F.sort_array(F.collect_list(F.when(~other, F.struct("path", "raw")))).alias("rest")
+    wide = rows.groupBy("file_id", "line_no").agg(*best, *least, *most, rest)
+    raw = lambda k, t: F.col(f"b{k}.raw").try_cast(t)
+    plain = lambda k, t: F.col(f"b{k}.value").try_cast(t)
+    typed = [F.coalesce(raw(k, t), plain(k, t)).alias(column(f)) for k, (f, t) in enumerate(fields)]
+    none = F.array().cast("array<string>")
+
+    def report(test: object) -> Column:
+        return F.array_compact(F.array(*[F.when(test(k, t), F.lit(column(f))) for k, (f, t) in enumerate(fields)])) if fields else none
+
+    held = lambda k: F.col(f"b{k}").isNotNull()
+    return wide.select(
+        "file_id", "line_no", *typed,
+        report(lambda k, t: held(k) & raw(k, t).isNull() & plain(k, t).isNull()).alias("failed_casts"),
+        report(lambda k, t: held(k) & raw(k, t).isNull() & plain(k, t).isNotNull()).alias("normalised"),
+        report(lambda k, t: F.col(f"l{k}") != F.col(f"m{k}")).alias("clashes"), "rest",
+    )

@@ -27,8 +27,10 @@ def p2_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per file and field of the consistent table: values that don't fit its type."""
-    return p2_hits(spark, sf_dir).select("file_id", F.explode("failed_casts").alias("field")).groupBy("file_id", "field").agg(F.count("*").alias("n_failed"))
+    """Per file and field of the consistent table: values that don't fit, fit only when normalised, or clash."""
+    hits = p2_hits(spark, sf_dir).select("file_id", "failed_casts", "normalised", "clashes")
+    kinds = [hits.select("file_id", F.lit(kind).alias("problem"), F.explode(kind).alias("field")) for kind in ("failed_casts", "normalised", "clashes")]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("file_id", "field", "problem").agg(F.count("*").alias("n_values"))
 
 
 def queries() -> dict:

@@ -49,3 +49,18 @@ def test_consistent_table_reports_failed_casts(spark):
     assert groups == {"off": "off", "offset": "off"}
     got = {(r.file_id, r.off, r.n): list(r.failed_casts) for r in drift.consistent_table(values, groups).collect()}
     assert got[(2, 3, None)] == ["n"] and got[(1, 3, 3)] == [] and len(got) == 10
+
+
+def test_values_stay_as_written_and_nothing_is_lost(spark):
+    old = [{"code": "007", "at": k, "when": "2024-01-01T00:00:00Z", "flag": "TRUE"} for k in range(1, 6)]
+    new = [{"code": "1e5", "pos": hex(k), "when": "x", "flag": "no", **({"at": 99, f"k{k}": k} if k == 2 else {})} for k in range(1, 6)]
+    values, found = run(spark, {1: old, 2: new})
+    groups = drift.field_groups(found)
+    assert groups == {"at": "at", "pos": "at"}
+    table = drift.consistent_table(values, groups)
+    assert table.columns == ["file_id", "line_no", "at", "code", "flag", "when", "failed_casts", "normalised", "clashes", "rest"]
+    got = {(r.file_id, r.line_no): r for r in table.collect()}
+    assert got[(1, 0)].code == "007" and got[(2, 0)].code == "1e5" and got[(1, 0)].when == "2024-01-01T00:00:00Z" and got[(1, 0)].flag == "TRUE"
+    assert got[(2, 0)].at == "0x1" or got[(2, 0)].at == 1
+    assert got[(2, 1)].clashes == ["at"] and got[(2, 1)].at in (99, "99") and [tuple(x) for x in got[(2, 1)].rest] == [("k2", "2")]
+    assert got[(1, 0)].clashes == [] and got[(1, 0)].rest == []
