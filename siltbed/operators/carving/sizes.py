@@ -8,7 +8,12 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Walk = Callable[..., int | None]
 
@@ -422,3 +427,14 @@ def resolve(rule: str, data: bytes, start: int, limit: int) -> int | None:
         return WALKS[rule](data, start, limit)
     except (struct.error, IndexError, OverflowError):
         return None
+
+
+def size_of(rule: Column, content: Column) -> Column:
+    """Size by the rule of each row's content, null where there is none."""
+
+    @F.pandas_udf(T.LongType())
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for rules, contents in batches:
+            yield pd.Series([None if c is None else resolve(r, c, 0, len(c)) for r, c in zip(rules, contents)], dtype="Int64")
+
+    return run(rule, content)

@@ -11,6 +11,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,15 +132,42 @@ def scan_boot_areas(chunks: DataFrame, step: int = 512) -> DataFrame:
     """``image_id, start_byte, fs`` of boot areas at every ``step`` bytes of ``image_id, base_offset, content, report`` chunks."""
     marks = ((3, b"NTFS    ", "NTFS"), (82, b"FAT32   ", "FAT32"), (54, b"FAT16   ", "FAT16"), (1080, b"\x53\xef", "ext4"))
 
+    def places(data: bytes, at: int, mark: bytes, starts: np.ndarray) -> np.ndarray:
+        """Starts that have ``mark`` at ``at``, all of them compared at once."""
+        raw = np.frombuffer(data, np.uint8)
+        inside = starts[starts + at + len(mark) <= len(raw)]
+        fits = np.ones(len(inside), bool)
+        for k, byte in enumerate(mark):
+            fits &= raw[inside + at + k] == byte
+        return inside[fits]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for image, base, data, report in zip(*(b[c].to_pylist() for c in ("image_id", "base_offset", "content", "report"))):
-                for at in range(-base % step, report, step):
-                    found = next((fs for o, mark, fs in marks if (data or b"")[at + o : at + o + len(mark)] == mark), None)
-                    if found:
-                        rows.append((image, base + at, found))
+                if data is None or base is None:
+                    continue
+                starts, found = np.arange(-base % step, min(report if report is not None else len(data), len(data)), step), {}
+                for at, mark, fs in marks:
+                    for start in places(data, at, mark, starts).tolist():
+                        found.setdefault(start, fs)
+                rows += [(image, base + start, fs) for start, fs in sorted(found.items())]
             cols = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["image_id", "start_byte", "fs"])
 
     return chunks.select("image_id", "base_offset", "content", "report").mapInArrow(run, "image_id bigint, start_byte bigint, fs string")
+
+
+def read_table(images: DataFrame) -> DataFrame:
+    """``image_id, slot, start_lba, size_lba, source`` of each first area: GPT where the MBR is protective, else MBR."""
+    gpt = gpt_entries(images.where(is_protective(F.col("content"))))
+    mbr = mbr_entries(images.where(~F.coalesce(is_protective(F.col("content")), F.lit(False))))
+    return mbr.select("image_id", "slot", "start_lba", "size_lba", F.lit("MBR").alias("source")).unionByName(
+        gpt.select("image_id", "slot", "start_lba", (F.col("end_lba") - F.col("start_lba") + 1).alias("size_lba"), F.lit("GPT").alias("source"))
+    )
+
+
+def with_fallback(table: DataFrame, recovered: DataFrame) -> DataFrame:
+    """``table`` and, for images that have no entry in it, the partitions ``recovered`` by a scan."""
+    missing = recovered.join(table.select("image_id").distinct(), "image_id", "left_anti")
+    return table.unionByName(missing.select("image_id", "slot", "start_lba", "size_lba", F.lit("scan").alias("source")))

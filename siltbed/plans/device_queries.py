@@ -32,13 +32,6 @@ def carve_find_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.scan(_chunks(spark, sf_dir), [s for s in SIGNATURES if s.name in TEXT_FORMATS]).select("image_id", "byte_offset", "signature")
 
 
-def cfg_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The signatures of the table joined with those the engine knows under the same extension."""
-    own = spark.createDataFrame([(s.extension, s.name, s.max_size, s.min_size) for s in SIGNATURES], "extension string, known_name string, known_max bigint, known_min bigint")
-    given = table(spark, sf_dir, "signatures", "name", "extension")
-    return given.join(own, "extension", "left").groupBy("name", "extension").agg(F.count("known_name").alias("n_known"))
-
-
 def _mbr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first sector per device, made from its number and size: two partitions and, for even numbers, a third."""
     d = table(spark, sf_dir, "devices", "image_id", "size_bytes").where("image_id IS NOT NULL").groupBy("image_id").agg(F.max("size_bytes").alias("size_bytes"))
@@ -112,17 +105,7 @@ def name_for_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("dirent_id", formats.carved_name(F.col("name"), F.lit("bin"), F.coalesce("xid", F.lit(0))).alias("file_name"))
 
 
-def src_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the two oldest shapes, one row per file, offset and signature: first place, last status."""
-    lines = table(spark, sf_dir, "checkpoint_lines").distinct().where("line IS NOT NULL")
-    shape = "v int, offset bigint, sig string, status string, hit struct<byte_offset: bigint, signature: struct<name: string>>"
-    p = lines.select("file_id", "line_no", F.from_json("line", shape).alias("j"))
-    rows = p.select("file_id", "line_no", F.coalesce("j.offset", "j.hit.byte_offset").alias("byte_offset"), F.coalesce("j.sig", "j.hit.signature.name").alias("signature"), "j.status")
-    rows = rows.where("byte_offset IS NOT NULL AND signature IS NOT NULL AND status IS NOT NULL")
-    return rows.groupBy("file_id", "byte_offset", "signature").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"))
-
-
-_QUERIES = [carve_scan, carve_find_text, cfg_signatures, part_mbr, part_bytes, fs_detect, byte_class, smart_verdict, smart_bad_lbas, thermal_guard, fmt_bytes, name_for_hit, src_checkpoint]
+_QUERIES = [carve_scan, carve_find_text, part_mbr, part_bytes, fs_detect, byte_class, smart_verdict, smart_bad_lbas, thermal_guard, fmt_bytes, name_for_hit]
 
 
 def queries() -> dict:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltbed.functions.formats import safe_name
 from siltbed.operators.carving.signatures import Signature, user_signature
@@ -49,10 +50,21 @@ def write_files(files: DataFrame, folder: str, stamp: bool = True) -> DataFrame:
     return rows.mapInArrow(run, WRITTEN)
 
 
+#: Files of one name are numbered in blocks of so many ids.
+IDS_PER_BLOCK = 100_000
+
+
 def unique_names(files: DataFrame) -> DataFrame:
-    """``name[2].ext`` and so on for repeated names, in order of ``file_id``; names are split over the numbers of a name's files."""
-    dup = files.groupBy("file_name").agg(F.sort_array(F.collect_list("file_id")).alias("ids"))
-    numbered = dup.select("file_name", F.posexplode("ids").alias("k", "file_id"))
+    """``name[2].ext`` and so on for repeated names, in order of ``file_id``.
+
+    A name is numbered in blocks of ids with one row per block handed over, so a frequent name is many tasks.
+    """
+    blocked = files.select("file_id", "file_name", F.floor(F.col("file_id") / IDS_PER_BLOCK).alias("block"))
+    counts = blocked.groupBy("file_name", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("file_name", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("file_name", "block").orderBy("file_id")
+    numbered = blocked.join(counts, ["file_name", "block"]).withColumn("k", F.col("before") + F.row_number().over(inside) - 1)
     dot = F.length("file_name") - F.locate(".", F.reverse("file_name")) + 1
     has = F.instr("file_name", ".") > 0
     stem, tail = F.when(has, F.substring("file_name", F.lit(1), dot - 1)).otherwise(F.col("file_name")), F.when(has, F.substring("file_name", dot, F.length("file_name"))).otherwise("")
