@@ -33,10 +33,33 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
 
-def list_entries(volumes: DataFrame, ntfs_records: int = ntfs.MAX_RECORDS) -> DataFrame:
-    """All entries; ``path`` is filled except for NTFS, see :func:`ntfs_paths`."""
-    parts = F.when(F.col("fs") == "NTFS", F.sequence(F.lit(0), F.lit(max(0, ntfs_records - 1)), F.lit(RECORDS_PER_TASK))).otherwise(F.array(F.lit(0)))
-    plan = volumes.select("image_id", "path", "part_offset", "fs", F.explode(parts).alias("first"))
+def _with_ranges(volumes: DataFrame, limit: int | None) -> DataFrame:
+    """Volumes with ``first``: where a task begins; an NTFS table of any length is many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for row in zip(*(b[c].to_pylist() for c in ("image_id", "path", "part_offset", "fs"))):
+                n = 1
+                if row[3] == "NTFS":
+                    try:
+                        with open(row[1], "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+                            n = ntfs.n_records(data, row[2])
+                    except (OSError, ValueError, struct.error, IndexError, ZeroDivisionError):
+                        n = 0
+                    n = n if limit is None else min(n, limit)
+                rows += [(*row, k) for k in range(0, max(n, 1), RECORDS_PER_TASK)]
+            cols = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["image_id", "path", "part_offset", "fs", "first"])
+
+    given = volumes.select(F.col("image_id").cast("long"), "path", F.col("part_offset").cast("long"), "fs")
+    return given.mapInArrow(run, "image_id bigint, path string, part_offset bigint, fs string, first bigint")
+
+
+def list_entries(volumes: DataFrame, ntfs_records: int | None = None) -> DataFrame:
+    """All entries; ``path`` is filled except for NTFS, see :func:`ntfs_paths`. ``ntfs_records``: a limit, for previews."""
+    plan = _with_ranges(volumes, ntfs_records)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -45,7 +68,7 @@ def list_entries(volumes: DataFrame, ntfs_records: int = ntfs.MAX_RECORDS) -> Da
                 try:
                     with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
                         if fs == "NTFS":
-                            found = ntfs.entries(data, offset, first, min(RECORDS_PER_TASK, ntfs_records - first))
+                            found = ntfs.entries(data, offset, first, RECORDS_PER_TASK if ntfs_records is None else max(0, min(RECORDS_PER_TASK, ntfs_records - first)))
                         else:
                             found = WALKS[fs](data, offset) if fs in WALKS else iter(())
                         for e in found:

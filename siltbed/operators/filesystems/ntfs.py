@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import struct
 from collections.abc import Iterator
 
 from siltbed.operators.filesystems.common import Entry, filetime, u16, u32, u64
 
-MAX_RECORDS = 1 << 20
 ROOT = 5
 
 
@@ -93,34 +94,59 @@ def parse_record(raw: bytes, number: int, boot: Boot) -> list[Entry]:
     return out + [Entry(number, parent, f"{name}:{label}", None, n, False, gone, created, modified, where(lcn), chance) for label, n, lcn in streams]
 
 
-def record_count(data: bytes, base: int, boot: Boot) -> int | None:
-    """Records of the table by the size of its data in record 0; None where that can't be read."""
+def table_runs(data: bytes, base: int, boot: Boot) -> tuple[int | None, list[tuple[int, int]]]:
+    """Records of the table and its stretches ``(place, bytes)``, by the data of record 0; ``None, []`` where that can't be read."""
     at = base + boot.table
     r = bytes(data[at : at + boot.record])
     if len(r) < boot.record or r[:4] != b"FILE":
-        return None
+        return None, []
     r = fixed_up(r, boot.sector)
     at = u16(r, 20)
     while at + 16 <= len(r):
         kind, length = u32(r, at), u32(r, at + 4)
         if kind == 0xFFFFFFFF or length < 16 or at + length > len(r):
-            return None
+            return None, []
         if kind == 0x80 and r[at + 8] and length >= 56:
-            return u64(r, at + 48) // boot.record
+            stretches = [(base + lcn * boot.cluster, n * boot.cluster) for lcn, n in runs(r[at + u16(r, at + 32) : at + length]) if lcn is not None]
+            return u64(r, at + 48) // boot.record, stretches
         at += length
-    return None
+    return None, []
 
 
-def entries(data: bytes, base: int = 0, first: int = 0, count: int = MAX_RECORDS) -> Iterator[Entry]:
-    """Entries of ``count`` records from ``first`` on; the table is taken as contiguous.
+def n_records(data: bytes, base: int = 0) -> int:
+    """Records to look at: those that record 0 counts or, where it can't be read, all that fit behind the table's begin."""
+    boot = Boot(bytes(data[base : base + 512]))
+    known, _ = table_runs(data, base, boot)
+    return known if known is not None else max(0, len(data) - base - boot.table) // boot.record
+
+
+def _piece(data: bytes, stretches: list[tuple[int, int]], starts: list[int], at: int, n: int) -> bytes:
+    """``n`` bytes of a fragmented table from ``at`` on."""
+    out, k = b"", max(0, bisect.bisect_right(starts, at) - 1)
+    while len(out) < n and k < len(stretches):
+        place, length = stretches[k]
+        inside = at + len(out) - starts[k]
+        out += bytes(data[place + inside : place + min(length, inside + n - len(out))])
+        k += 1
+        if inside >= length:
+            break
+    return out
+
+
+def entries(data: bytes, base: int = 0, first: int = 0, count: int | None = None) -> Iterator[Entry]:
+    """Entries of ``count`` records (all: None) from ``first`` on, read along the stretches of the table.
 
     Void records are passed over: the table ends with the records that record 0 counts, or with the data.
+    Where record 0 can't be read, or its stretches begin elsewhere or are too short, the table is taken as contiguous.
     """
     boot = Boot(bytes(data[base : base + 512]))
-    known = record_count(data, base, boot)
-    for k in range(first, first + count if known is None else min(first + count, known)):
-        at = base + boot.table + k * boot.record
-        raw = bytes(data[at : at + boot.record])
+    known, stretches = table_runs(data, base, boot)
+    if not stretches or stretches[0][0] != base + boot.table or sum(n for _, n in stretches) < (known or 0) * boot.record:
+        stretches = [(base + boot.table, max(0, len(data) - base - boot.table))]
+    starts = [0, *itertools.accumulate(n for _, n in stretches[:-1])]
+    total = n_records(data, base)
+    for k in range(first, total if count is None else min(first + count, total)):
+        raw = _piece(data, stretches, starts, k * boot.record, boot.record)
         if len(raw) < boot.record:
             return
         yield from parse_record(raw, k, boot)

@@ -10,13 +10,13 @@ from siltbed.plans.lineage import cut
 from siltbed.sources.tables import table
 
 
-def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _read(spark: SparkSession, sf_dir: str, *unused: str) -> tuple[DataFrame, DataFrame]:
     files = table(spark, sf_dir, "checkpoint_files", "file_id", "session_id", "file_no")
-    return cut(drift.path_values(table(spark, sf_dir, "checkpoint_lines"))), files
+    return cut(drift.path_values(table(spark, sf_dir, "checkpoint_lines")).drop(*unused)), files
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values, files = _read(spark, sf_dir)
+    values, files = _read(spark, sf_dir, "raw")
     return drift.changes(values, files)
 
 

@@ -193,3 +193,28 @@ def test_ext4():
     assert set(rows) == {"/sub", "/gone", "/sub/file.txt", "/sub/self"}
     f = rows["/sub/file.txt"]
     assert (f.size, f.created, f.modified, f.data_offset) == (999, 111, 222, 22 * 1024) and rows["/gone"].is_deleted
+
+
+def test_fragmented_table(spark, tmp_path):
+    """Half of the table's clusters lie elsewhere, in reverse; what lies behind its first stretch is no record."""
+    names = [f"f{k}" for k in range(12)]
+    flat = ntfs_volume([record("$MFT", 5, size=12 * 1024, lcn=4), *[record(n, 5) for n in names[1:]]])
+    boot = ntfs.Boot(flat[:512])
+    whole = flat[boot.table :]
+    per = boot.cluster // boot.record
+    clusters = [whole[k : k + boot.cluster] for k in range(0, 12 * boot.record, boot.cluster)]
+    half = len(clusters) // 2
+    far = (boot.table // boot.cluster) + half + 3
+    rest = len(clusters) - half
+    data = bytearray(flat[: boot.table]) + b"".join(clusters[:half]) + b"\xee" * (3 * boot.cluster) + b"".join(clusters[half:])
+    runs = bytes([0x11, half, boot.table // boot.cluster, 0x11, rest, far - boot.table // boot.cluster, 0])
+    at = boot.table + ntfs.u16(data, boot.table + 20)
+    while ntfs.u32(data, at) != 0x80:
+        at += ntfs.u32(data, at + 4)
+    place = at + ntfs.u16(data, at + 32)
+    data[place : place + len(runs)] = runs
+    assert per >= 1 and ntfs.table_runs(bytes(data), 0, boot)[1] == [(boot.table, half * boot.cluster), (far * boot.cluster, rest * boot.cluster)]
+    assert [e.name for e in ntfs.entries(bytes(data))] == ["$MFT", *names[1:]]
+    (tmp_path / "split.img").write_bytes(data)
+    volumes = spark.createDataFrame([(1, str(tmp_path / "split.img"), 0, "NTFS")], "image_id long, path string, part_offset long, fs string")
+    assert listing.list_entries(volumes).count() == 12
