@@ -33,6 +33,8 @@ from siltbed.llm.ppm import Model
 from siltbed.llm.seed_texts import seeds
 
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_BYTES = 600, 120, 150_000
+#: Notations of labels that the sample looks at, those of the most frequent languages first.
+LABELS = 10_000
 #: Share of the bits that a label must save on its held-out texts, and the least number of texts.
 MIN_SAVING, MIN_TEXTS = 0.1, 20
 #: Rounds in which each half confirms the labels of the other, and clauses that are scored at a time.
@@ -151,11 +153,11 @@ def labelled_sample(df: DataFrame, text: str, label: str) -> DataFrame:
 
     Twice as many are drawn by share, told apart, and cut to the limit in the order of their hash.
     """
-    rows = df.select(iso3(F.col(label)).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("body")).where("lang IS NOT NULL AND length(body) > 0")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_TEXTS) / F.col("n"))
-    drawn = rows.join(F.broadcast(counts), "lang")  # one row per known language
-    drawn = drawn.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "body").distinct()
+    # the notation of each label is read once; there are few labels, and at most so many go on by broadcast
+    given = df.where(F.col(label).isNotNull() & (F.length(text) > 0)).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).select("label", "n", iso3(F.col("label")).alias("lang")).where("lang IS NOT NULL")
+    given = given.select("label", "lang", (F.lit(2.0 * SAMPLE_TEXTS * (1 << 20)) / F.sum("n").over(Window.partitionBy("lang"))).alias("below")).orderBy("below", "label").limit(LABELS)
+    rows = df.select(F.col(label).alias("label"), F.substring(text, 1, SAMPLE_CHARS).alias("body")).where("label IS NOT NULL AND length(body) > 0").join(F.broadcast(given), "label")
+    drawn = rows.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < F.col("below")).select("lang", "body").distinct()
     order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("body"), F.lit(1 << 20)), "body")
     drawn = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_TEXTS).drop("r")
 
@@ -276,7 +278,7 @@ def identify(df: DataFrame, text: str, model: Model) -> DataFrame:
 
 def mislabelled(identified: DataFrame, label: str, *keep: str) -> DataFrame:
     """``keep`` columns and ``lang``, one row per language, where the label is missing or wrong or the text is mixed."""
-    found = identified.withColumn("langs", F.array_distinct(F.transform("segments", lambda x: x["lang"])))
+    found = identified.where(F.size("segments") > 0).withColumn("langs", F.array_distinct(F.transform("segments", lambda x: x["lang"])))
     given = iso3(F.col(label))
     wrong = given.isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", given)
     return found.where((F.size("langs") > 0) & wrong).select(*keep, F.explode("langs").alias("lang")).distinct()
